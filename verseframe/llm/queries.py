@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verseframe.llm import leakage
+from verseframe.llm import encoding, leakage
 from verseframe.sources import table
 
 
@@ -16,5 +16,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_per_item(p7_found(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return encoding.restored(documents, encoding.garbled(documents))
+
+
+QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_found, p8_restored)}
 ORACLE: dict[str, str] = {}
