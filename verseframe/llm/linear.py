@@ -8,7 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 
 
-def hash_ids(features: list[str], size: int) -> np.ndarray:
+def hash_ids(features: list[str] | np.ndarray, size: int) -> np.ndarray:
+    """Places of features given by name, or by number."""
+    if isinstance(features, np.ndarray):
+        return features % size
     return np.fromiter((zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in features), dtype=np.int64, count=len(features)) % size
 
 
@@ -19,13 +22,13 @@ class LinearModel:
     weights: np.ndarray
     bias: np.ndarray
 
-    def log_odds(self, features: list[str], values: list[float] | None = None) -> np.ndarray:
+    def log_odds(self, features: list[str] | np.ndarray, values: list[float] | None = None) -> np.ndarray:
         ids = hash_ids(features, self.weights.shape[1])
         w = self.weights[:, ids]
         return self.bias + (w.sum(axis=1) if values is None else (w * np.asarray(values)).sum(axis=1))
 
 
-def fit(rows: list[list[str]], labels: np.ndarray, size: int, epochs: int = 5, rate: float = 0.3, l2: float = 1e-6, seed: int = 7, batch: int = 256) -> LinearModel:
+def fit(rows: list, labels: np.ndarray, size: int, epochs: int = 5, rate: float = 0.3, l2: float = 1e-6, seed: int = 7, batch: int = 256) -> LinearModel:
     """Independent logistic regressions by AdaGrad over shuffled batches; labels has one column per label."""
     n, k = labels.shape if labels.ndim == 2 else (0, 1)
     w, b = np.zeros((k, size)), np.zeros(k)

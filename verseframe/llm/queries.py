@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verseframe.llm import encoding, leakage
+from verseframe.llm import encoding, leakage, pairs, truncation
 from verseframe.sources import table
 
 
+SWEEP = "style_tradeoff_v1_20260311_191359"
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, d, "outputs_flat"), table(spark, d, SWEEP), table(spark, d, "documents"), ("outputs_flat", SWEEP))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_posteriors(table(spark, d, SWEEP)).where("filled and log_odds > 0").select("row_id")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(truncation.cut_posteriors(table(spark, d, SWEEP)))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -25,5 +40,5 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(documents, encoding.garbled(documents))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_report, p7_found, p7_items, p8_found, p8_restored)}
 ORACLE: dict[str, str] = {}

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from verseframe.llm import endings
+from verseframe.llm.linear import LinearModel
 from verseframe.llm.pairtext import is_copy, is_empty, without_prompt
 from verseframe.operators.skew import HOT_ROWS, salted_lookup
 from verseframe.operators.spread import spread
@@ -105,15 +106,19 @@ def _poisson_tail(n: int, rate: float) -> float:
     return max(1 - below, term if n else 1.0)
 
 
-def scored_rows(df: DataFrame, row_id: str, source: str, prompt: str, text: str, length: str | None) -> DataFrame:
+def fit_endings(rows: DataFrame) -> tuple[endings.WordUse, LinearModel]:
+    """Word counts over all rows (row_id, text) and the line model trained on a bounded sample of them."""
+    use = endings.word_use(rows)
+    sample = rows.select("text", "row_id").where("length(text) > 40").orderBy(F.xxhash64("row_id"), "row_id").limit(endings.SAMPLE)
+    return use, endings.train(sorted({r[0] for r in sample.select("text").collect()}), use)
+
+
+def scored_rows(df: DataFrame, row_id: str, source: str, prompt: str, text: str, length: str | None, fitted: tuple | None = None) -> DataFrame:
     """Distinct row_id, source, chars, bytes, words, recorded, evidence, usable: one pass over the texts, none shuffled."""
     recorded = F.col(length).cast("long") if length else F.lit(None).cast("long")
     rows = df.select(F.col(row_id).alias("row_id"), F.col(source).cast("string").alias("source"), F.col(prompt).alias("prompt"), F.col(text).alias("text"), recorded.alias("recorded"))
     rows = spread(rows.where("row_id is not null and text is not null"))
-    use = endings.word_use(rows)
-    sample = rows.select("text", "row_id").where("length(text) > 40").orderBy(F.xxhash64("row_id"), "row_id").limit(endings.SAMPLE)
-    model = endings.train(sorted({r[0] for r in sample.select("text").collect()}), use)
-    shared = df.sparkSession.sparkContext.broadcast((use, model))
+    shared = df.sparkSession.sparkContext.broadcast(fitted or fit_endings(rows))
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,14 +170,14 @@ def source_limits(rows: DataFrame) -> DataFrame:
     return hist.groupBy("unit", "source").applyInPandas(limits, "unit string, source string, length int, share double")
 
 
-def cut_posteriors(df: DataFrame, row_id: str = "row_id", source: str = "run_name", prompt: str = "prompt", text: str = "output", length: str | None = "output_length", min_rows: int = HOT_ROWS) -> DataFrame:
-    """row_id, source, log_odds, filled: the log-odds that a row's text lacks its end.
+def cut_posteriors(df: DataFrame, row_id: str = "row_id", source: str = "run_name", prompt: str = "prompt", text: str = "output", length: str | None = "output_length", min_rows: int = HOT_ROWS, fitted: tuple | None = None) -> DataFrame:
+    """row_id, source, log_odds, filled, shift: the log-odds that a row's text lacks its end; shift: their part that is not from the ending.
 
     One row per row_id (exact duplicates fall together; of others the largest log-odds count). Rows with a null
     text do not appear; blank texts, texts that hold no answer and mere copies of the prompt get very small odds
     unless the recorded length tells that more was there. A null source is a source of its own.
     """
-    rows = scored_rows(df, row_id, source, prompt, text, length)
+    rows = scored_rows(df, row_id, source, prompt, text, length, fitted)
     keyed = rows.withColumn("_s", F.coalesce("source", F.lit("\x00")))
     if length:
         units = source_units(rows).select(F.coalesce("source", F.lit("\x00")).alias("_s"), "unit")
@@ -190,7 +195,8 @@ def cut_posteriors(df: DataFrame, row_id: str = "row_id", source: str = "run_nam
     share = F.greatest("_chars_share", "_bytes_share")
     prior = F.when(share.isNotNull(), F.greatest(F.log(share / (1 - share)), F.lit(PRIOR))).otherwise(F.lit(PRIOR))
     odds = F.when(F.col("usable"), prior + F.col("evidence") + F.col("_recorded")).when(F.col("filled") & (F.col("_recorded") == LONGER), F.lit(1.0)).otherwise(F.lit(-20.0))
-    return keyed.withColumn("log_odds", odds).groupBy("row_id").agg(F.max("source").alias("source"), F.max("log_odds").alias("log_odds"), F.max("filled").alias("filled"))
+    keyed = keyed.withColumn("log_odds", odds).withColumn("shift", prior - F.lit(PRIOR) + F.col("_recorded"))
+    return keyed.groupBy("row_id").agg(F.max("source").alias("source"), F.max("log_odds").alias("log_odds"), F.max("filled").alias("filled"), F.max("shift").alias("shift"))
 
 
 def truncation_report(posteriors: DataFrame) -> DataFrame:
