@@ -159,7 +159,10 @@ def consensus(results: DataFrame, min_rows: int = HOT_ROWS, **columns) -> tuple[
     total = votes.groupBy("_item").agg(F.sum("vote").alias("_s"), F.count(F.lit(1)).alias("_n"))
     with_total = salted_lookup(votes, total, "_item", "inner", min_rows=min_rows).where("_n > 1")
     others = (F.col("_s") - F.col("vote")) / (F.col("_n") - 1)
-    habit = with_total.groupBy("_judge").agg((F.avg(F.col("vote") - others)).alias("_bias"), F.corr("vote", others).alias("_corr"))
+    pairs = with_total.select("_judge", F.col("vote").cast("double").alias("v"), others.alias("o"))
+    sums = pairs.groupBy("_judge").agg(F.avg(F.col("v") - F.col("o")).alias("_bias"), F.avg("v").alias("mv"), F.avg("o").alias("mo"), F.avg(F.col("v") * F.col("o")).alias("vo"), F.avg(F.col("v") * F.col("v")).alias("vv"), F.avg(F.col("o") * F.col("o")).alias("oo"))
+    spread = F.sqrt(F.greatest((F.col("vv") - F.col("mv") * F.col("mv")) * (F.col("oo") - F.col("mo") * F.col("mo")), F.lit(0.0)))
+    habit = sums.select("_judge", "_bias", F.when(spread > 1e-9, (F.col("vo") - F.col("mv") * F.col("mo")) / F.nullif(spread, F.lit(0.0))).alias("_corr"))
     shift = F.when(F.coalesce("_corr", F.lit(0.0)) > 0.15, F.round("_bias")).otherwise(0).cast("int")
     habits = cut_lineage(habit.select("_judge", shift.alias("shift")))
     aligned = salted_lookup(votes, habits, "_judge", min_rows=min_rows)
