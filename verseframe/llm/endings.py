@@ -85,6 +85,9 @@ class WordUse:
         self.total = float(inside.sum() + closing.sum()) or 1.0
         self.memo: dict[str, str] = {}
 
+    def __add__(self, other: WordUse) -> WordUse:
+        return WordUse(self.inside + other.inside, self.closing + other.closing)
+
     def kind(self, word: str) -> str:
         got = self.memo.get(word)
         if got is None:

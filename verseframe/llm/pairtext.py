@@ -18,20 +18,25 @@ def folded(text: str | None) -> list[str]:
     return _WORD.findall(re.sub("['’‘`]", "", _MARKUP.sub(" ", text)))
 
 
-def is_empty(text: str | None) -> bool:
-    """Null, or nothing that could be read as an answer: blanks, marks, special tokens, words for nothing."""
-    words = folded(text)
-    return not words or " ".join(words) in _NOTHING
+def is_empty(text: str | None, words: list[str] | None = None) -> bool:
+    """Null, or nothing that could be read as an answer: blanks, marks, special tokens, words for nothing.
 
+    words: the folded text, if it is at hand.
+    """
+    words = folded(text) if words is None else words
+    return not words or (len(words) <= 3 and " ".join(words) in _NOTHING)
 
-def is_copy(text: str | None, prompt: str | None) -> bool:
+
+def is_copy(text: str | None, prompt: str | None, words: list[str] | None = None) -> bool:
     """Nothing but the prompt, altered in form or repeated."""
-    want, have = folded(prompt), folded(_LABEL.sub("", text or ""))
-    if not want or not have or len(have) % len(want):
-        have = [w for w in have if w not in ("prompt",)] if have and want else have
-        if not want or not have or len(have) % len(want):
-            return False
-    return all(have[i] == want[i % len(want)] for i in range(len(have)))
+    want, have = folded(prompt), folded(text) if words is None else words
+    if not want or not have:
+        return False
+    if have[0] != want[0] and _LABEL.search(text or ""):
+        have = have[1:]
+    if len(have) % len(want) and "prompt" in have:
+        have = [w for w in have if w != "prompt"]
+    return bool(have) and not len(have) % len(want) and all(have[i] == want[i % len(want)] for i in range(len(have)))
 
 
 def without_prompt(text: str, prompt: str | None) -> str:

@@ -170,8 +170,23 @@ def source_limits(rows: DataFrame) -> DataFrame:
     return hist.groupBy("unit", "source").applyInPandas(limits, "unit string, source string, length int, share double")
 
 
+def at_limits(rows: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+    """rows (source, chars, bytes, evidence, usable) with _share: the share of rows cut at a limit of their length, else null."""
+    limits = cut_lineage(source_limits(rows))
+    for unit in ("chars", "bytes"):
+        at = limits.where(F.col("unit") == unit).select(F.concat_ws("\x1f", F.lit(unit), F.coalesce("source", F.lit("\x00")), F.col("length").cast("string")).alias(f"_{unit}"), F.col("share").alias(f"_{unit}_share"))
+        rows = salted_lookup(rows.withColumn(f"_{unit}", _at(unit)), at, f"_{unit}", min_rows=min_rows)
+    return rows.withColumn("_share", F.greatest("_chars_share", "_bytes_share"))
+
+
+def limit_log_odds() -> Column:
+    """Log-odds of a cut before the ending is looked at."""
+    share = F.col("_share")
+    return F.when(share.isNotNull(), F.greatest(F.log(share / (1 - share)), F.lit(PRIOR))).otherwise(F.lit(PRIOR))
+
+
 def cut_posteriors(df: DataFrame, row_id: str = "row_id", source: str = "run_name", prompt: str = "prompt", text: str = "output", length: str | None = "output_length", min_rows: int = HOT_ROWS, fitted: tuple | None = None) -> DataFrame:
-    """row_id, source, log_odds, filled, shift: the log-odds that a row's text lacks its end; shift: their part that is not from the ending.
+    """row_id, source, log_odds, filled: the log-odds that a row's text lacks its end.
 
     One row per row_id (exact duplicates fall together; of others the largest log-odds count). Rows with a null
     text do not appear; blank texts, texts that hold no answer and mere copies of the prompt get very small odds
@@ -188,15 +203,11 @@ def cut_posteriors(df: DataFrame, row_id: str = "row_id", source: str = "run_nam
         keyed = keyed.withColumn("_recorded", recorded)
     else:
         keyed = keyed.withColumn("_recorded", F.lit(0.0))
-    limits = cut_lineage(source_limits(rows))
-    for unit in ("chars", "bytes"):
-        at = limits.where(F.col("unit") == unit).select(F.concat_ws("\x1f", F.lit(unit), F.coalesce("source", F.lit("\x00")), F.col("length").cast("string")).alias(f"_{unit}"), F.col("share").alias(f"_{unit}_share"))
-        keyed = salted_lookup(keyed.withColumn(f"_{unit}", _at(unit)), at, f"_{unit}", min_rows=min_rows)
-    share = F.greatest("_chars_share", "_bytes_share")
-    prior = F.when(share.isNotNull(), F.greatest(F.log(share / (1 - share)), F.lit(PRIOR))).otherwise(F.lit(PRIOR))
+    keyed = at_limits(keyed, min_rows)
+    prior = limit_log_odds()
     odds = F.when(F.col("usable"), prior + F.col("evidence") + F.col("_recorded")).when(F.col("filled") & (F.col("_recorded") == LONGER), F.lit(1.0)).otherwise(F.lit(-20.0))
-    keyed = keyed.withColumn("log_odds", odds).withColumn("shift", prior - F.lit(PRIOR) + F.col("_recorded"))
-    return keyed.groupBy("row_id").agg(F.max("source").alias("source"), F.max("log_odds").alias("log_odds"), F.max("filled").alias("filled"), F.max("shift").alias("shift"))
+    keyed = keyed.withColumn("log_odds", odds)
+    return keyed.groupBy("row_id").agg(F.max("source").alias("source"), F.max("log_odds").alias("log_odds"), F.max("filled").alias("filled"))
 
 
 def truncation_report(posteriors: DataFrame) -> DataFrame:
