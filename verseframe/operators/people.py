@@ -70,24 +70,32 @@ def violations(people: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def forest(people: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
+def forest(people: DataFrame, links: DataFrame) -> DataFrame:
     """root, id, depth, path (ids by "/"): every way down from persons without a known parent.
 
-    Each round joins the last level with the links; a person already on its way ends there as a leaf, so circles end
-    too. Levels beyond `most` raise, for lines that deep go through operators.hierarchy.
+    A person already on its way ends there as a leaf, so circles end too. Ways grow by doubling: round r joins the ways
+    from roots of under 2**r links with all stretches of 2**r links, so that lines of any depth take logarithmic rounds.
     """
     from verseframe.session import cut_lineage
 
+    def joined(ways: DataFrame, stretches: DataFrame, head: Column) -> DataFrame:
+        """ways extended by stretches (a, b, p), without those that pass a person twice before their end."""
+        s = stretches.select(F.col("a").alias("end"), F.col("b").alias("_b"), F.col("p").alias("_p"))
+        both = ways.where("not over").join(s, "end").withColumn("_all", F.concat(head, "_p"))
+        front = F.slice("_all", 1, F.size("_all") - 1)
+        return both.where(F.size(F.array_distinct(front)) == F.size(front)).withColumn("_over", F.array_contains(front, F.col("_b")))
+
     roots = people.select("id").join(links.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
-    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(False).alias("_end"))
-    out = level
-    for depth in range(1, most + 1):
-        nxt = level.where("not _end").join(links, F.col("id") == F.col("parent"))
-        level = cut_lineage(nxt.select("root", F.col("child").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("child")).alias("path"), F.array_contains("path", F.col("child")).alias("_end")))
-        if level.isEmpty():
-            return out.select("root", "id", "depth", F.array_join("path", "/").alias("path"))
-        out = out.unionByName(level)
-    raise ValueError("deeper than the limit")
+    ways = roots.select(F.col("id").alias("root"), F.col("id").alias("end"), F.array("id").alias("path"), F.lit(False).alias("over"))
+    stretch = cut_lineage(links.select(F.col("parent").alias("a"), F.col("child").alias("b"), F.array("child").alias("p"), (F.col("parent") == F.col("child")).alias("over")))
+    while True:
+        more = joined(ways, stretch, F.col("path")).select("root", F.col("_b").alias("end"), F.col("_all").alias("path"), F.col("_over").alias("over"))
+        more = cut_lineage(more)
+        if more.isEmpty():
+            return ways.select("root", F.col("end").alias("id"), (F.size("path") - 1).alias("depth"), F.array_join("path", "/").alias("path"))
+        ways = ways.unionByName(more)
+        longer = joined(stretch.select("a", F.col("b").alias("end"), "p", "over"), stretch, F.concat(F.array("a"), "p"))
+        stretch = cut_lineage(longer.select("a", F.col("_b").alias("b"), F.concat("p", "_p").alias("p"), F.col("_over").alias("over")))
 
 
 def branch_extent(tree: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def review_by_poem(spark, d):
     return m.withColumn("overall", F.round((F.col("originality") + F.col("emotion") + F.col("imagery")) / 3, 3))
 
 
-@query(f"WITH {_V} SELECT comparison_id, model, round(avg((originality + emotion + imagery) / 3.0), {P}) AS overall FROM v GROUP BY ALL ORDER BY CASE WHEN regexp_matches(comparison_id, '^[0-9]+$') THEN 0 ELSE 1 END, try_cast(comparison_id AS BIGINT), comparison_id, model")
+@query(f"WITH {_V} SELECT comparison_id, model, round(avg((originality + emotion + imagery) / 3.0), {P}) AS overall FROM v GROUP BY ALL")
 def review_poem_model(spark, d):
     overall = (F.col("originality") + F.col("emotion") + F.col("imagery")) / 3.0
     per = _rows(spark, d).groupBy("comparison_id", "model").agg(F.round(F.avg(overall), P).alias("overall"))
@@ -88,7 +88,7 @@ def reviewer_agreement(spark, d):
 
 @query("""WITH items AS (SELECT id::VARCHAR AS id, min(row_id) AS o FROM outputs_flat GROUP BY 1), who AS (SELECT DISTINCT lower(trim(coalesce(reviewer, ''), ' ' || chr(9) || chr(10) || chr(13))) AS reviewer FROM results),
 done AS (SELECT DISTINCT lower(trim(coalesce(reviewer, ''), ' ' || chr(9) || chr(10) || chr(13))) AS reviewer, comparison_id AS id FROM results),
-open AS (SELECT reviewer, items.id, o FROM who, items ANTI JOIN done USING (reviewer, id)) SELECT reviewer, first(id ORDER BY o, id) AS id FROM open GROUP BY reviewer UNION ALL SELECT reviewer, NULL FROM who WHERE reviewer NOT IN (SELECT reviewer FROM open)""")
+grid AS (SELECT reviewer, id, o FROM who, items), open AS (SELECT reviewer, id, o FROM grid ANTI JOIN done USING (reviewer, id)) SELECT reviewer, first(id ORDER BY o, id) AS id FROM open GROUP BY reviewer UNION ALL SELECT reviewer, NULL FROM who WHERE reviewer NOT IN (SELECT reviewer FROM open)""")
 def next_item_for_reviewer(spark, d):
     items = table(spark, d, "outputs_flat").select(F.col("id").cast("string").alias("id"), "row_id")
     results = table(spark, d, "results").select("reviewer", F.col("comparison_id").alias("id"))
