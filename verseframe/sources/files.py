@@ -22,15 +22,15 @@ def read_lines(spark: SparkSession, path: str, missing_ok: bool = False) -> Data
 
 def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """file, text: one row per *.txt file that is not blank; bad bytes become U+FFFD. No such file raises."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", recursive)
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), T.strip("value").alias("text")).where("text <> ''")
+    reader = spark.read
+    rows = reader.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("file"), T.strip("value").alias("text")).where("text <> ''")
     if rows.isEmpty():
         raise ValueError(f"no text in {path}")
     return rows
 
 
 def _variant(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    return spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +39,7 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     if path.endswith(".txt"):
-        rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.transform(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), T.strip), lambda x: x != "")).alias("i", "prompt"))
+        rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n"), T.strip), lambda x: x != "")).alias("i", "prompt"))
         return rows.select(F.col("i").cast("string").alias("prompt_id"), "prompt")
     items = _variant(spark, path).select(F.coalesce(F.try_variant_get("v", "$.prompts", "array<variant>"), F.try_variant_get("v", "$", "array<variant>")).alias("a")).select(F.posexplode("a").alias("i", "x"))
     pick = lambda *names: F.coalesce(*[F.nullif(F.try_variant_get("x", f"$.{n}", "string"), F.lit("")) for n in names])
