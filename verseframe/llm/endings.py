@@ -157,11 +157,11 @@ def train(texts: list[str], use: WordUse, seed: int = 7) -> LinearModel:
             line = inner[k].rstrip(" \t.!?…" + _SOFT + _CLOSERS)
             if len(line) < 4:
                 continue
-            rows.append(line_features(line, use))
+            rows.append(hash_ids(line_features(line, use), FEATURES))
             labels.append(0.0)
             cut = line[: rng.integers(1, len(line))].rstrip()
             if cut:
-                rows.append(line_features(cut, use))
+                rows.append(hash_ids(line_features(cut, use), FEATURES))
                 labels.append(1.0)
     return fit(rows, np.array(labels)[:, None], FEATURES, epochs=6, seed=seed)
 
