@@ -34,7 +34,8 @@ def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.agreement(consensus.last_votes(table(spark, d, "results")).withColumn("_item", F.concat_ws("\x1f", "item_id", "item_model", "dimension")))
+    got = consensus.agreement(consensus.last_votes(table(spark, d, "results")).withColumn("_item", F.concat_ws("\x1f", "item_id", "item_model", "dimension")))
+    return got.select("dimension", "n_items", "n_votes", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
 
 
 def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +75,6 @@ cells AS (SELECT dimension, comparison_id, model, vote, count(*) AS n FROM votes
 items AS (SELECT dimension, comparison_id, model, sum(n) AS n, sum(n * (n - 1)) AS same FROM cells GROUP BY ALL HAVING sum(n) > 1),
 obs AS (SELECT dimension, count(*) AS n_items, sum(n)::BIGINT AS n_votes, avg(same / (n * (n - 1))) AS observed FROM items GROUP BY 1),
 ex AS (SELECT dimension, sum(p * p) AS expected FROM (SELECT c.dimension, c.vote, sum(c.n) / any_value(o.n_votes) AS p FROM cells c JOIN items USING (dimension, comparison_id, model) JOIN obs o ON o.dimension = c.dimension GROUP BY 1, 2) GROUP BY 1)
-SELECT dimension, n_items, n_votes, observed, expected, (observed - expected) / (1 - expected) AS kappa FROM obs JOIN ex USING (dimension)
+SELECT dimension, n_items, n_votes, round(observed, 6) AS observed, round(expected, 6) AS expected, round((observed - expected) / (1 - expected), 6) AS kappa FROM obs JOIN ex USING (dimension)
 """,
 }
