@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
@@ -22,6 +23,11 @@ class LinearModel:
     weights: np.ndarray
     bias: np.ndarray
 
+    @cached_property
+    def by_feature(self) -> np.ndarray:
+        """The weights with one row per feature, laid out for gathering many features at once."""
+        return np.ascontiguousarray(self.weights.T)
+
     def log_odds(self, features: list[str] | np.ndarray, values: list[float] | None = None) -> np.ndarray:
         ids = hash_ids(features, self.weights.shape[1])
         w = self.weights[:, ids]
