@@ -5,9 +5,9 @@ model of fixed size backs off for unseen words. Words that a UTF-8 channel could
 
 Channel model: a channel is a pair (encoding the text was in, encoding it was read with). For a word it builds the
 lattice of bytes behind the characters and reads it again: UTF-8 sequences where they are valid, other characters
-as they stand; a byte lost as U+FFFD is a wildcard, filled by the corpus words that fit or, failing that, by a
-Viterbi search over the characters of the corpus under the trigram model. Each different word is decoded once,
-however often it occurs, and its candidates get their corpus frequencies by a join on the word.
+as they stand; a byte lost as U+FFFD is a wildcard, filled by the clean corpus words that agree with every character
+left and by a Viterbi search over the characters of the corpus under the trigram model, whichever is likelier. Each
+different word is decoded once, however often it occurs, and its candidates get their corpus frequencies by a join.
 
 Search: per document a Viterbi search over its words, whose states are the channels; entering a channel costs
 `enter`, staying is free, and a word gains the log-probability of what the channel restores over what is there.
@@ -135,7 +135,7 @@ def candidates(word: str) -> dict[int, list[str]]:
     if LOST in word:
         for k, codec in enumerate(READ_UTF8_AS):
             if got := _fill_utf8(word, codec):
-                out[1 + k] = got[:64]
+                out[1 + k] = got
         return out
     n = len(READ_UTF8_AS)
     for k, codec in enumerate(READ_UTF8_AS):
@@ -194,9 +194,11 @@ class CharModel:
         return sum(self.logp(padded[i - 2 : i + 1]) for i in range(2, len(padded)))
 
     def fill(self, word: str, width: int = 24) -> str:
-        """The word with every lost character replaced, by a Viterbi search of bounded width over the alphabet."""
-        beam = [(0.0, "\x02\x02")]
+        """The word with every lost character replaced, by a Viterbi search over the alphabet, exact but for runs of
+        two or more lost characters, where the best `width` are followed."""
+        beam, run = [(0.0, "\x02\x02")], 0
         for ch in f"{word}\x03":
+            run = run + 1 if ch == LOST else 0
             options = self.alphabet if ch == LOST else (ch,)
             best: dict[str, tuple[float, str]] = {}
             for s, path in beam:
@@ -205,7 +207,7 @@ class CharModel:
                     key = path[-1] + c
                     if key not in best or t > best[key][0]:
                         best[key] = (t, path + c)
-            beam = sorted(best.values(), reverse=True)[:width]
+            beam = sorted(best.values(), reverse=True)[: width if run > 1 else None]
         return beam[0][1][2:-1]
 
 
@@ -223,7 +225,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def char_model(counts: DataFrame) -> CharModel:
-    """The trigram model of the clean-looking words; at most sum(_BUCKETS) numbers reach the driver, at any size."""
+    """The trigram model of the clean-looking words; at most sum(_BUCKETS) numbers and the alphabet reach the driver, at any size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         arrays = [np.zeros(b) for b in _BUCKETS]
@@ -240,7 +242,7 @@ def char_model(counts: DataFrame) -> CharModel:
         for k, a in enumerate(arrays):
             at = np.flatnonzero(a)
             yield pd.DataFrame({"kind": k, "bucket": at.astype("int64"), "n": a[at]})
-        top = sorted(chars.items(), key=lambda x: -x[1])[:400]
+        top = list(chars.items())
         yield pd.DataFrame({"kind": pd.Series([3] * len(top), dtype="int64"), "bucket": pd.Series([ord(c) for c, _ in top], dtype="int64"), "n": pd.Series([float(v) for _, v in top], dtype="float64")})
 
     arrays, chars = [np.zeros(b) for b in _BUCKETS], {}
@@ -249,18 +251,42 @@ def char_model(counts: DataFrame) -> CharModel:
             chars[chr(r.bucket)] = r.n
         else:
             arrays[r.kind][r.bucket] = r.n
-    return CharModel(arrays, [c for c, _ in sorted(chars.items(), key=lambda x: (-x[1], x[0]))[:120]])
+    return CharModel(arrays, [c for c, _ in sorted(chars.items(), key=lambda x: (-x[1], x[0]))])
 
 
 def _pattern(word: Column) -> Column:
     return F.regexp_replace(word, r"[^\x00-\x7F]", LOST)
 
 
+def clean_words(counts: DataFrame) -> DataFrame:
+    """The rows of counts (word, n) whose word no channel could have made."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[_looks_clean(w) for w in batch["word"]]]
+
+    return spread(counts.select("word", "n")).mapInPandas(keep, "word string, n long")
+
+
+def fitting_words(counts: DataFrame, clean: DataFrame) -> DataFrame:
+    """word, reading, reading_n: for each word with lost characters every clean word that has all its other characters.
+
+    Clean words are blanked at the lost places of the damaged words of their pattern, and then meet these on the word.
+    """
+    damaged = counts.where(F.col("word").contains(LOST)).select("word")
+    shapes = damaged.select(_pattern(F.col("word")).alias("pattern"), F.regexp_replace("word", f"[^{LOST}]", "x").alias("shape")).distinct()
+    reading, shape = F.col("reading"), F.col("shape")
+    char = lambda i: F.when(F.substr(shape, i, F.lit(1)) == LOST, F.lit(LOST)).otherwise(F.substr(reading, i, F.lit(1)))
+    blanked = F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), char), "")
+    met = clean.select(_pattern(F.col("word")).alias("pattern"), F.col("word").alias("reading"), F.col("n").alias("reading_n")).join(shapes, "pattern")
+    return met.select(blanked.alias("word"), "reading", "reading_n").join(damaged, "word", "left_semi")
+
+
 def channel_gains(counts: DataFrame, model: CharModel, min_rows: int = HOT_ROWS) -> DataFrame:
     """word, channel, reading, gain: per word and channel the reading with the largest log-probability gain.
 
     The log-probability of a word is its corpus frequency, smoothed by the trigram model. Words of which a
-    character was lost get channel "lost" with their most frequent fitting word or the model's filling.
+    character was lost get channel "lost" with the likeliest of the clean words that fit and the model's filling.
     """
     spark = counts.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -275,25 +301,30 @@ def channel_gains(counts: DataFrame, model: CharModel, min_rows: int = HOT_ROWS)
                 clean = _looks_clean(word)
                 for channel, readings in candidates(word).items():
                     doubt = DOUBT if _CAPITAL_MARK.fullmatch(word) else 0.0
-                    ranked = sorted(((m.score(r) - doubt, r) for r in readings), reverse=True)[:3]
-                    rows += [(word, float(n) if clean else 0.0, own, channel, r, s) for s, r in ranked]
+                    rows += [(word, float(n) if clean else 0.0, own, channel, r, m.score(r) - doubt) for r in readings]
                 if LOST in word:
-                    filled = m.fill(word[:400]) + word[400:]
+                    filled = m.fill(word)
                     rows.append((word, 0.0, own, len(CHANNELS) - 1, filled, m.score(filled)))
             yield pd.DataFrame(rows, columns=["word", "n", "own", "channel", "reading", "model"])
 
     rows = spread(counts).mapInPandas(decode, "word string, n double, own double, channel int, reading string, model double")
-    known = counts.where(~F.col("word").contains(LOST)).select(F.col("word").alias("reading"), F.col("n").alias("reading_n"))
+    clean = clean_words(counts).persist()
+    known = clean.select(F.col("word").alias("reading"), F.col("n").alias("reading_n"))
     scored = salted_lookup(rows, known, "reading", min_rows=min_rows)
-    fits = counts.where(F.col("word").contains(LOST)).select(F.col("word").alias("damaged"), _pattern(F.col("word")).alias("pattern"))
-    best_fit = known.select(_pattern(F.col("reading")).alias("pattern"), "reading", "reading_n").groupBy("pattern").agg(F.max_by("reading", F.struct("reading_n", "reading")).alias("reading"), F.max("reading_n").alias("reading_n"))
-    by_pattern = fits.join(best_fit, "pattern").select(F.col("damaged").alias("word"), F.lit(0.0).alias("n"), F.lit(0.0).alias("own"), F.lit(len(CHANNELS) - 1).alias("channel"), "reading", F.lit(0.0).alias("model"), (F.col("reading_n") + 1_000_000_000).alias("reading_n"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(model=[shared.value.score(r) for r in batch["reading"]])
+
+    fits = fitting_words(counts, clean).mapInPandas(score, "word string, reading string, reading_n long, model double")
+    fits = fits.withColumns({"n": F.lit(0.0), "own": F.lit(0.0), "channel": F.lit(len(CHANNELS) - 1)})
 
     def logp(n: Column, model_: Column) -> Column:
         return F.log((n + 50.0 * F.exp(F.greatest(model_, F.lit(-600.0)))) / F.lit(total + 50.0))
 
-    gain = F.when(F.col("channel") == len(CHANNELS) - 1, F.coalesce("reading_n", F.lit(0)) + 100.0 + F.col("model") / 1e6).otherwise(logp(F.coalesce("reading_n", F.lit(0)), F.col("model")) - logp(F.col("n"), F.col("own")))
-    both = scored.select("word", "n", "own", "channel", "reading", "model", "reading_n").unionByName(by_pattern).withColumn("gain", gain)
+    reads = logp(F.coalesce("reading_n", F.lit(0)), F.col("model"))
+    gain = F.when(F.col("channel") == len(CHANNELS) - 1, reads).otherwise(reads - logp(F.col("n"), F.col("own")))
+    both = scored.select("word", "n", "own", "channel", "reading", "model", "reading_n").unionByName(fits).withColumn("gain", gain)
     best = both.groupBy("word", "channel").agg(F.max_by(F.struct("reading", "gain"), F.struct("gain", "reading")).alias("b"))
     return best.select("word", "channel", "b.reading", F.when(F.col("channel") == len(CHANNELS) - 1, 20.0).otherwise(F.col("b.gain")).alias("gain"))
 
