@@ -1,6 +1,8 @@
 """Queries that once did less than the whole job, on small tables."""
 
-from verseframe.plans import people_queries
+import datetime as dt
+
+from verseframe.plans import core_problems, people_queries
 
 
 def test_relation_lists_of_any_number(spark, tmp_path):
@@ -8,3 +10,18 @@ def test_relation_lists_of_any_number(spark, tmp_path):
     spark.createDataFrame(rows, "record_no long, parents array<string>").write.parquet(str(tmp_path / "family.parquet"))
     got = sorted(tuple(r) for r in people_queries.relation_lists(spark, str(tmp_path)).collect())
     assert got == [(1, "a|b|c"), (2, "x"), (3, ""), (4, ""), (5, "x|y|z")]
+
+
+def test_descendants_on_and_below_circles(spark, tmp_path):
+    parent = {"r": None, "s": "r", "t": "s", "u": "s", "c5": "c1", "c1": "c3", "c3": "c9", "c9": "c5", "d1": "c1", "d2": "d1", "d3": "d2", "e1": "c9", "e2": "e1", "self": "self", "kid": "self", "x": "y", "y": "x"}
+    rows = [(n, i, [p] if p else [], dt.datetime(2024, 1, 1), None) for n, (i, p) in enumerate(parent.items())]
+    spark.createDataFrame(rows, "record_no long, id string, parents array<string>, recorded_at timestamp_ntz, deleted_at timestamp_ntz").write.parquet(str(tmp_path / "family.parquet"))
+    want = []
+    for person in parent:
+        up, steps, seen = parent[person], 1, set()
+        while up is not None and up not in seen:
+            seen.add(up)
+            want.append((up, person, steps))
+            up, steps = parent[up], steps + 1
+    got = [tuple(r) for r in core_problems.p5_descendants(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)

@@ -78,11 +78,40 @@ def hierarchy(people: DataFrame, with_path: bool = False, min_rows: int = HOT_RO
 
 
 def descendants(paths: DataFrame) -> DataFrame:
-    """ancestor, descendant, distance for every pair on a line: one row per pair, so no node holds a whole tree."""
+    """ancestor, descendant, distance for every pair on a line from a root: one row per pair, so no node holds a whole tree."""
     pairs = paths.where(F.col("depth") > 0).select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("_pos", "ancestor"))
     return pairs.where(F.col("_pos") < F.col("depth")).select("ancestor", "descendant", (F.col("depth") - F.col("_pos")).cast("long").alias("distance"))
 
 
+def all_descendants(people: DataFrame, min_rows: int = HOT_ROWS, **columns: str) -> DataFrame:
+    """ancestor, descendant, distance (the least) for every person and each person reachable downwards, once.
+
+    Persons on a circle reach everyone on it, themselves too (the distance is the circle's length), and everyone below.
+    """
+    nodes = cut_lineage(first_known_parent(current_versions(people, **columns), min_rows=min_rows))
+    lines = cut_lineage(resolve_lines(nodes, with_path=True, min_rows=min_rows))
+    return descendants(lines).unionByName(_circle_descendants(nodes, lines, min_rows))
+
+
+def _circle_descendants(nodes: DataFrame, lines: DataFrame, min_rows: int) -> DataFrame:
+    """The pairs of persons on circles or below them.
+
+    Each circle is cut above its smallest id, which then is the root of a tree; the path of that id's parent is the
+    whole circle, and the line of everyone in the tree starts with a part of it.
+    """
+    group = cut_lineage(nodes.join(lines.where("depth = -1").select("id", "root_id"), "id"))
+    first = F.col("id") == F.col("root_id")
+    tree = cut_lineage(resolve_lines(group.select("id", F.when(~first, F.col("parent")).alias("parent")), with_path=True, min_rows=min_rows))
+    last = group.where(first).select(F.col("parent").alias("id"))
+    ring = tree.join(last, "id").select("root_id", F.col("path").alias("ring"))
+    met = salted_lookup(tree, ring, "root_id", "inner", min_rows=min_rows).withColumn("_on", F.size(F.array_intersect("path", "ring")))
+    at = F.col("_pos").cast("long")
+    below = met.select(F.col("id").alias("descendant"), "depth", "_on", F.posexplode("path").alias("_pos", "ancestor")).where((at >= F.col("_on")) & (at < F.col("depth")))
+    around = met.select(F.col("id").alias("descendant"), "depth", "_on", F.size("ring").alias("_n"), F.posexplode("ring").alias("_pos", "ancestor"))
+    steps = F.col("depth") - at + F.when((at < F.col("_on")) & (at < F.col("depth")), 0).otherwise(F.col("_n"))
+    return below.select("ancestor", "descendant", (F.col("depth") - at).alias("distance")).unionByName(around.select("ancestor", "descendant", steps.cast("long").alias("distance")))
+
+
 def circles(people: DataFrame, min_rows: int = HOT_ROWS, **columns: str) -> DataFrame:
     """circle (its smallest id) and id of every person on a circle, not of those below one.
 
