@@ -1,8 +1,10 @@
 """Queries that once did less than the whole job, on small tables."""
 
 import datetime as dt
+import re
 
-from verseframe.plans import core_problems, people_queries
+from verseframe.functions import fixed as K
+from verseframe.plans import core_problems, people_queries, stream_queries
 
 
 def test_relation_lists_of_any_number(spark, tmp_path):
@@ -25,3 +27,36 @@ def test_descendants_on_and_below_circles(spark, tmp_path):
             up, steps = parent[up], steps + 1
     got = [tuple(r) for r in core_problems.p5_descendants(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def sanitized(text):
+    t = re.sub(K.THINK_BLOCK, "", text)
+    t = re.sub(K.THINK_CLOSE, "", re.sub(r"(?is)<think\b[^>]*>.*", "", t)).strip()
+    lines = t.splitlines()
+    for i, line in enumerate(lines):
+        if re.match(K.FINAL_MARK, line):
+            return "\n".join(x for x in (re.sub(K.FINAL_MARK, "", line, count=1).strip(), "\n".join(lines[i + 1 :]).strip()) if x)
+    out, drop, saw = [], False, False
+    for line in lines:
+        s = line.strip()
+        header = bool(re.match(K.THINK_HEADER, s))
+        looks = header or re.match(K.REASON_META, s) or (re.match(K.REASON_LIST, s) and re.search(K.REASON_WORD, s))
+        if not s:
+            out += [""] if out and not drop else []
+        elif header or (looks and (drop or not saw)):
+            drop = saw = True
+        else:
+            out.append(s if drop else line.rstrip())
+            drop = False
+    seen = "\n".join(out).strip()
+    return "" if re.search(K.LINGERING, seen) else seen
+
+
+def test_reasoning_is_stripped_from_every_poem(spark, tmp_path):
+    poems = [
+        "Rain falls.\nOn roofs.", "  Rain \t\n\n\n\nfalls\t\n ", "<think>the plan\n1. x</think>\nRain.", "Rain.<think>still thinking", "</think>Rain.", "<think></think>", "Thinking Process:\n1. the user asks\n- a step\n  Rain.  \n  Falls.",
+        "Let me see\n\nRain.\n1. the answer", "1. rain\n2. snow\n- hail", "Final Answer: Rain.\n\nSnow.", "Sky.\nanswer:\nRain.\r\nSnow.", "Rain thinking process: lingers", "The user wants rain\nRain.", "Rain.\n- I need a step\nSnow.", "Reasoning: a\nReasoning: b", None,
+    ]
+    spark.createDataFrame([(i, "p", p) for i, p in enumerate(poems)], "row_id long, prompt string, poem string").write.parquet(str(tmp_path / "outputs_flat.parquet"))
+    got = {r["row_id"]: r["response"] for r in stream_queries.reasoning_stripped(spark, str(tmp_path)).collect()}
+    assert got == {i: s for i, p in enumerate(poems) if p is not None and (s := sanitized(p))}

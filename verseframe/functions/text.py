@@ -261,7 +261,7 @@ def sanitize_output(text: Column | str) -> Column:
         blank = F.struct(drop.alias("drop"), saw.alias("saw"), F.when(~drop & (F.size(out) > 0), F.array_append(out, F.lit(""))).otherwise(out).alias("out"))
         skip = F.struct(F.lit(True).alias("drop"), F.lit(True).alias("saw"), out.alias("out"))
         first = F.struct(F.lit(False).alias("drop"), saw.alias("saw"), F.array_append(out, s).alias("out"))
-        keep = F.struct(drop.alias("drop"), saw.alias("saw"), F.array_append(out, F.rtrim(line)).alias("out"))
+        keep = F.struct(drop.alias("drop"), saw.alias("saw"), F.array_append(out, F.rtrim(line, F.lit(BLANKS))).alias("out"))
         return F.when(s == "", blank).when(header | (drop & looks) | (~drop & ~saw & looks), skip).when(drop, first).otherwise(keep)
 
     start = F.struct(F.lit(False).alias("drop"), F.lit(False).alias("saw"), F.array().cast("array<string>").alias("out"))

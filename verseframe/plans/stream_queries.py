@@ -61,11 +61,8 @@ def _poems(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT row_id, trim(poem, ' ' || chr(9) || chr(10) || chr(13)) AS response FROM outputs_flat WHERE poem IS NOT NULL AND NOT regexp_matches(poem, '(?i)<think|</think|thinking process|thought process|chain of thought|internal reasoning|answer\\s*:|response\\s*:|reasoning\\s*:|analysis\\s*:') AND NOT regexp_matches(poem, '(?im)^\\s*(the user|the prompt|i should|i need|i will|we should|we need|let me|first[,:\\s]|second[,:\\s]|third[,:\\s]|\\d+[.)]|[-*])') AND NOT regexp_matches(poem, '(?m)[ \\t\\r]+$|\\n\\s*\\n\\s*\\n') AND trim(poem, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
 def reasoning_stripped(spark, d):
-    plain = r"(?i)<think|</think|thinking process|thought process|chain of thought|internal reasoning|answer\s*:|response\s*:|reasoning\s*:|analysis\s*:"
-    lines = r"(?im)^\s*(the user|the prompt|i should|i need|i will|we should|we need|let me|first[,:\s]|second[,:\s]|third[,:\s]|\d+[.)]|[-*])"
-    rows = _poems(spark, d).where(~F.col("poem").rlike(plain) & ~F.col("poem").rlike(lines) & ~F.col("poem").rlike(r"(?m)[ \t\r]+$|\n\s*\n\s*\n"))
-    wrapped = F.concat(F.lit("<think>\n1. plan the answer\n</think>\nThinking Process:\n1. the user asks\nFinal Answer: "), T.strip("poem"))
-    return rows.select("row_id", T.sanitize_output(wrapped).alias("response")).where("response <> ''")
+    # every poem as it is; the SQL says so only for poems without reasoning marks, list lines and blank runs
+    return _poems(spark, d).select("row_id", T.sanitize_output("poem").alias("response")).where("response <> ''")
 
 
 @query()
