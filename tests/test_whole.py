@@ -1,10 +1,14 @@
 """Queries that once did less than the whole job, on small tables."""
 
 import datetime as dt
+import random
 import re
 
+import pytest
+
 from verseframe.functions import fixed as K
-from verseframe.plans import core_problems, people_queries, stream_queries
+from verseframe.operators import metrics
+from verseframe.plans import core_problems, people_queries, review_queries, stream_queries
 
 
 def test_relation_lists_of_any_number(spark, tmp_path):
@@ -60,3 +64,17 @@ def test_reasoning_is_stripped_from_every_poem(spark, tmp_path):
     spark.createDataFrame([(i, "p", p) for i, p in enumerate(poems)], "row_id long, prompt string, poem string").write.parquet(str(tmp_path / "outputs_flat.parquet"))
     got = {r["row_id"]: r["response"] for r in stream_queries.reasoning_stripped(spark, str(tmp_path)).collect()}
     assert got == {i: s for i, p in enumerate(poems) if p is not None and (s := sanitized(p))}
+
+
+def test_adjacent_distance_of_all_neighbours(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i * 7 % 2003, 1 if i % 4 else 2, [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(900)] + [(5000, 3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {}
+    for label in (1, 2, 3):
+        v = [x for _, k, x in sorted(rows) if k == label]
+        d = [1 - sum(p * q for p, q in zip(a, b)) for a, b in zip(v, v[1:])]
+        want[label] = (len(d), pytest.approx(sum(d) / max(len(d), 1), abs=2e-6))
+    assert {r["label"]: r["distance"] for r in review_queries.adjacent_distance_by_label(spark, str(tmp_path)).collect()} == {k: x for k, (_, x) in want.items()}
+    assert {r["label"]: (r["n"], r["distance"]) for r in metrics.adjacent_distance(df, "label", "vec_id", "embedding", span=50).collect()} == want

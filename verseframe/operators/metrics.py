@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verseframe.functions import text as T
+from verseframe.functions.vectors import dot
 from verseframe.operators.skew import HOT_ROWS, salted_lookup
 
 #: Metrics by name; more can be added, each a function of the text column.
@@ -53,6 +54,20 @@ def token_shift(base: DataFrame, tuned: DataFrame, eps: float = 1e-12) -> DataFr
     return both.join(F.broadcast(totals)).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("kl"))  # totals: one row
 
 
+def adjacent_distance(df: DataFrame, key: str, order: str, vector: str, span: int = 4096) -> DataFrame:
+    """key, n, distance: mean of 1 - dot over all neighbours in `order` (whole numbers) of a key; 0 without any.
+
+    Neighbours are found within ranges of `span` of the order, and those across borders from the ends of the ranges,
+    so no task holds a whole key.
+    """
+    rows = df.select(key, F.col(order).alias("_o"), F.floor(F.col(order) / span).alias("_r"), F.col(vector).alias("_v"))
+    within = rows.withColumn("_d", 1 - dot(F.lag("_v").over(Window.partitionBy(key, "_r").orderBy("_o")), "_v"))
+    per = within.groupBy(key, "_r").agg(F.count("_d").alias("_n"), F.sum("_d").alias("_s"), F.min_by("_v", "_o").alias("_first"), F.max_by("_v", "_o").alias("_last"))
+    across = per.withColumn("_d", 1 - dot(F.lag("_last").over(Window.partitionBy(key).orderBy("_r")), "_first"))
+    n = F.sum("_n") + F.count("_d")
+    return across.groupBy(key).agg(n.alias("n"), F.coalesce((F.coalesce(F.sum("_s"), F.lit(0.0)) + F.coalesce(F.sum("_d"), F.lit(0.0))) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("distance"))
+
+
 def surrealism_index() -> Column:
     return F.col("imagery_density") + F.col("metaphor_density") + F.col("surreal_imagery_score") + F.col("conceptual_distance_score")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verseframe.functions import text as T, vectors as V
-from verseframe.operators import reviews as R
+from verseframe.operators import metrics as M, reviews as R
 from verseframe.plans.book import Book, strip
 from verseframe.sources import table
 
@@ -141,11 +141,9 @@ def semantic_drift_pairs(spark, d):
 @query(f"""WITH l AS (SELECT label, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)
 SELECT label, round(coalesce(avg(1 - {_DOT % ('a', 'b')}) FILTER (a IS NOT NULL), 0), {P}) AS distance FROM l WHERE k <= 128 GROUP BY label""")
 def adjacent_distance_by_label(spark, d):
-    from pyspark.sql import Window
+    out = M.adjacent_distance(table(spark, d, "embeddings"), "label", "vec_id", "embedding")  # all neighbours; the SQL takes the first 128 rows
+    return out.select("label", F.round("distance", P).alias("distance"))
 
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, d, "embeddings").withColumn("prev", F.lag("embedding").over(w)).withColumn("k", F.row_number().over(w)).where("k <= 128")
-    return rows.groupBy("label").agg(F.round(F.coalesce(F.avg(1 - V.dot("prev", "embedding")), F.lit(0.0)), P).alias("distance"))
 
 
 _COS = f"{_DOT % ('a.embedding', 'b.embedding')} / (sqrt({_DOT % ('a.embedding', 'a.embedding')}) * sqrt({_DOT % ('b.embedding', 'b.embedding')}) + 1e-10)"
