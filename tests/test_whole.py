@@ -7,7 +7,7 @@ import re
 import pytest
 
 from verseframe.functions import fixed as K
-from verseframe.operators import metrics
+from verseframe.operators import metrics, prosody
 from verseframe.plans import core_problems, people_queries, review_queries, stream_queries
 
 
@@ -78,3 +78,17 @@ def test_adjacent_distance_of_all_neighbours(spark, tmp_path):
         want[label] = (len(d), pytest.approx(sum(d) / max(len(d), 1), abs=2e-6))
     assert {r["label"]: r["distance"] for r in review_queries.adjacent_distance_by_label(spark, str(tmp_path)).collect()} == {k: x for k, (_, x) in want.items()}
     assert {r["label"]: (r["n"], r["distance"]) for r in metrics.adjacent_distance(df, "label", "vec_id", "embedding", span=50).collect()} == want
+
+
+def test_complement_triples(spark):
+    rng = random.Random(4)
+    rows = [(d, i, f"d{d} p{i}", rng.randrange(0, 12)) for d in range(3) for i in range(70 * d)]
+    got = [tuple(r) for r in prosody.complement_triples(spark.createDataFrame(rows, "k int, pos int, phrase string, syllables int"), "k").select("k", "first", "second", "third").collect()]
+    want = []
+    for d in range(3):
+        mine = [r for r in rows if r[0] == d]
+        for _, _, first, n in sorted((r for r in mine if r[3] < 10), key=lambda r: -r[3])[:50]:
+            for two in range(2, 10 - n - 1):
+                seconds, thirds = ([r[2] for r in mine if r[3] == s][:10] for s in (two, 10 - n - two))
+                want += [(d, first, b, c) for b in seconds for c in thirds]
+    assert want and sorted(got) == sorted(want)

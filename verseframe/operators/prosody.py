@@ -38,6 +38,18 @@ def complement_pairs(phrases: DataFrame, key: str, target: int = 10, probes: int
     return a.join(b, (F.col(key) == F.col("_k")) & (F.col("need") == F.col("_s"))).select(key, "first", "second", "pos1", "pos2")
 
 
+def complement_triples(phrases: DataFrame, key: str, target: int = 10, probes: int = 50, matches: int = 10) -> DataFrame:
+    """key, first, second, third: three phrases of one text whose syllables add up to the target; the same probes as for
+    pairs, with every split of the rest into two parts of 2 or more and the first `matches` phrases of each part."""
+    probe = phrases.where(F.col("syllables") < target).withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("syllables"), "pos"))).where(F.col("_p") <= probes)
+    per = phrases.where(F.col("syllables").between(2, target - 3)).withColumn("_m", F.row_number().over(Window.partitionBy(key, "syllables").orderBy("pos"))).where(F.col("_m") <= matches)
+    a = probe.select(key, F.col("phrase").alias("first"), F.col("pos").alias("pos1"), (F.lit(target) - F.col("syllables")).alias("need"))
+    b = per.select(F.col(key).alias("_k2"), F.col("phrase").alias("second"), F.col("pos").alias("pos2"), F.col("syllables").alias("_s2"))
+    c = per.select(F.col(key).alias("_k3"), F.col("phrase").alias("third"), F.col("pos").alias("pos3"), F.col("syllables").alias("_s3"))
+    rest = b.join(c, F.col("_k2") == F.col("_k3")).withColumn("_sum", F.col("_s2") + F.col("_s3")).where(F.col("_sum") <= target)
+    return a.join(rest, (F.col(key) == F.col("_k2")) & (F.col("need") == F.col("_sum"))).select(key, "first", "second", "third", "pos1", "pos2", "pos3")
+
+
 def meter(stress: Column | str) -> Column:
     """"strict", "substituted" (one or two trochees) or null for a string of stresses, 2 counting as 1."""
     s = F.translate(F.col(stress) if isinstance(stress, str) else stress, "2", "1")

@@ -52,6 +52,11 @@ def complement_sum_pairs(spark, d):
     return P.complement_pairs(P.extract_phrases(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "first", "second")
 
 
+@query()
+def complement_sum_triples(spark, d):
+    return P.complement_triples(P.extract_phrases(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "first", "second", "third")
+
+
 _LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)"
 
 
