@@ -98,12 +98,16 @@ def find_limits(hist: pd.DataFrame, min_rows: int = 3, max_p: float = 1e-4) -> p
 
 
 def _poisson_tail(n: int, rate: float) -> float:
-    """P(X >= n)."""
-    term, below = math.exp(-rate), 0.0
-    for k in range(n):
-        below += term
-        term *= rate / (k + 1)
-    return max(1 - below, term if n else 1.0)
+    """P(X >= n), summed from the term nearest to n outwards, whose logarithm stays in range at any rate."""
+    if n <= 0 or rate <= 0:
+        return float(n <= 0)
+    k = n if n > rate else n - 1
+    term, total = math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)), 0.0
+    while term > total * 1e-17:
+        total += term
+        term *= rate / (k + 1) if n > rate else k / rate
+        k += 1 if n > rate else -1
+    return min(total, 1.0) if n > rate else max(1 - total, 0.0)
 
 
 def fit_endings(rows: DataFrame) -> tuple[endings.WordUse, LinearModel]:
