@@ -17,6 +17,30 @@ def sample(df: DataFrame, k: int, key: str, seed: int = 42) -> DataFrame:
     return df if k <= 0 else df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
 
 
+def hash_sample(df: DataFrame, k: int, *key: str, by: str | None = None, seed: int = 42) -> list:
+    """The rows of the k smallest keyed hashes (of each value of `by`, which has few), one per hash and in its order;
+    all hashes where there are no more.
+
+    Counts set thresholds on the hash that leave little more than k rows, so that no task sorts or sends k of its
+    own: the bounded sample alone travels, at any number of partitions. Repeated keys fall together.
+    """
+    groups = df.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("n")).collect()
+    h = F.xxhash64(F.lit(seed), *key)
+    test = F.lit(False)
+    for g in groups:
+        share = min(1.0, (1.1 * k + 6 * k**0.5 + 20) / max(g["n"], 1))
+        low = F.lit(True) if share >= 1 else h <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))
+        test = test | (low & (F.col(by).eqNullSafe(F.lit(g[by])) if by else F.lit(True)))
+    per = df.where(test).groupBy(*([by] if by else []), h.alias("_h")).agg(F.min(F.struct(*df.columns)).alias("_r"))
+    out, taken = [], {}
+    for r in sorted(per.collect(), key=lambda r: r["_h"]):
+        g = r[by] if by else None
+        taken[g] = taken.get(g, 0) + 1
+        if taken[g] <= k:
+            out.append(r["_r"])
+    return out
+
+
 def unique_ids(df_session, count: int, least: int = 100_000, most: int = 999_999, seed: int = 42) -> DataFrame:
     """`count` distinct ids from the range, as id; more than it holds raise."""
     if count > most - least + 1:
