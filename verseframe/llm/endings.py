@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from verseframe.llm.linear import LinearModel, fit, hash_ids
+from verseframe.llm.linear import LinearModel, fit, flat, hash_ids
 
 BUCKETS = 1 << 18
 FEATURES = 1 << 16
@@ -26,6 +26,8 @@ SAMPLE = 4000
 #: Marks that a text was shortened, at its end.
 MARKER = re.compile(r"(?:\[\s*(?:\.{3}|…|clipped|truncated|cut|more|snip)\s*\]|\(\s*\+?\d+ more (?:lines?|words?|chars?|characters?|tokens?)\s*\)|\n\s*(?:\.{3}|…)|<(?:truncated|cut)>)[\s\"”’'*_]*$", re.I)
 _CLOSERS = " \t\r\n\"”’'»*_)]"
+#: A marker ends in one of these, before blanks and quotes; other texts are not searched for one.
+_MARKER_ENDS, _AFTER_MARKER = ("]", ")", "…", "...", ">"), "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "\"”’'*_"
 _TERMINAL, _SOFT = ".!?。！？｡", ",;:—–-、，；："
 _SEGMENT = re.compile(r"\n+|(?<=[.!?…。！？])[\"”’')\]]*\s+|(?<=[。！？])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’‑-][^\W\d_]+)*|\d+")
@@ -59,7 +61,7 @@ class Ending:
 
 
 def ending_of(text: str) -> Ending:
-    marker = bool(MARKER.search(text))
+    marker = text.rstrip(_AFTER_MARKER).endswith(_MARKER_ENDS) and bool(MARKER.search(text))
     body = MARKER.sub("", text) if marker else text
     body = body.rstrip(_CLOSERS)
     if body.endswith(("…", "...")):
@@ -147,6 +149,12 @@ def word_use(df: DataFrame, column: str = "text") -> WordUse:
     return WordUse(inside, closing)
 
 
+def line_odds(ends: list[Ending], use: WordUse, model: LinearModel) -> np.ndarray:
+    """The line model's log-odds of many endings at once; 0 where there is no line."""
+    places, sizes = flat([hash_ids(line_features(e.segment, use), FEATURES) if e.segment else np.zeros(0, np.int64) for e in ends])
+    return np.where(sizes > 0, model.many(places, sizes)[:, 0], 0.0) if len(ends) else np.zeros(0)
+
+
 def train(texts: list[str], use: WordUse, seed: int = 7) -> LinearModel:
     """P(cut) of a line; the texts are a bounded sample. Half of each line's examples are cut at a random character."""
     rng = np.random.default_rng(seed)
@@ -163,7 +171,7 @@ def train(texts: list[str], use: WordUse, seed: int = 7) -> LinearModel:
             if cut:
                 rows.append(hash_ids(line_features(cut, use), FEATURES))
                 labels.append(1.0)
-    return fit(rows, np.array(labels)[:, None], FEATURES, epochs=6, seed=seed)
+    return fit(*flat(rows), np.array(labels)[:, None], FEATURES, epochs=6, seed=seed)
 
 
 #: P(closing | style) of complete and of cut texts, from the punctuation of lines and of random cuts.

@@ -9,28 +9,36 @@ labels over their thresholds the one with the largest margin is the defect.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from verseframe.llm import endings, language
-from verseframe.llm.linear import LinearModel, fit, hash_ids
+from verseframe.llm import endings, language, pairtext
+from verseframe.llm.linear import LinearModel, fit, flat
 from verseframe.llm.pairtext import folded, is_copy, is_empty, without_prompt
-from verseframe.llm.truncation import PRIOR, at_limits, cut_posteriors, fit_endings, limit_log_odds
-from verseframe.operators.spread import spread
+from verseframe.llm.truncation import PRIOR, SCORED, at_limits, ending_evidence, fit_endings, limit_log_odds, measured, posteriors_of, read_rows
+from verseframe.operators.sampling import hash_sample
 from verseframe.session import cut_lineage
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
-FEATURES, SMALL = 1 << 18, 1 << 14
+#: Places of the weights: those of pair features first, by kind, then those of n-grams.
+FEATURES, PAIR = 1 << 18, 1 << 14
+KINDS = {k: i for i, k in enumerate(("empty", "copy", "words", "cover", "long", "end", "foreign"))}
+#: Length of the n-gram part of a pair's features.
+GRAM = 1.0
+#: How much faster n-grams are learnt for refusals, which rest on wording.
+WORDING = 4.0
 #: Pairs in the bounded training sample.
 SAMPLE = 2500
 #: Share of each defect in real pairs for which thresholds are set; the examples hold every defect equally often.
 RATE = 0.04
-#: Longer answers are no refusals; their wording is not looked at.
-GRAM_WORDS = 60
 
 #: Fixed phrases from which refused answers are made: openings, statements, closings.
 OPENINGS = ("I'm sorry, but", "I am sorry, but", "Sorry,", "Unfortunately,", "Regretfully,", "I apologize, but", "My apologies —", "As a language model,", "As an AI,", "To be clear,", "Hmm,", "I understand the wish, but", "I appreciate the idea, yet", "Thank you for asking, however", "Thanks, but", "")
@@ -40,14 +48,18 @@ STATEMENTS = (
     "I would rather not take up this line.", "I don't feel comfortable composing this.", "I'm not comfortable writing this.", "this falls outside what I can create.", "there is no response I am allowed to give here.",
     "no poem can be offered for this prompt.", "the request was declined and no verse was written.", "content of this kind is not available from me.", "writing about this is against my guidelines.", "this goes against my policies.",
     "you would be better served by a human poet here, so I'll stop.", "I'm not allowed to answer this.", "I do not have an answer I can share.", "it is not possible for me to fulfil this request.",
+    "writing about this is not something I do.", "I must leave this request unanswered.", "this topic is off limits for me.", "the rules I follow do not permit that.", "composing this is beyond what I may do.", "I should not compose this.",
+    "I have been asked not to write on this theme.", "this request crosses a line, so I will stop here.", "that isn't a subject I can write about.", "I don't write this kind of content.", "my instructions prevent me from writing this.", "I will have to refuse.",
 )
 CLOSINGS = ("", "", "Could you rephrase what you need?", "I hope you understand.", "Please try a different topic.", "If you like, send another opening line.", "Let me know if something else would help.", "I'd gladly write about something else.", "Is there anything else I can do?")
+#: Openings that put regret into a line of verse.
+REGRETS = ("I am sorry,", "I'm sorry,", "Sorry,", "Unfortunately,", "I cannot hold", "I was unable to follow", "I won't forget", "I must decline", "Forgive me,", "I apologize to", "I can't name", "No,", "I was not able to keep", "I would rather not leave", "Regretfully,")
 #: Fixed stand-ins for no answer.
 NOTHING = ("", " ", "\n\n", "\t \n", "...", ". . .", "—", '""', "null", "N/A", "[no output]", "<|endoftext|>", "<|im_end|>\n", "<think></think>", "​", "None", "-", "***")
 
 
-def refusal(rng: np.random.Generator) -> str:
-    opening, statement, closing = rng.choice(OPENINGS), rng.choice(STATEMENTS), rng.choice(CLOSINGS)
+def refusal(rng: np.random.Generator, statements: tuple[str, ...] = STATEMENTS) -> str:
+    opening, statement, closing = rng.choice(OPENINGS), rng.choice(statements), rng.choice(CLOSINGS)
     text = f"{opening} {statement}" if opening else statement[0].upper() + statement[1:]
     if closing:
         text = f"{text[:-1]}, but {closing[0].lower()}{closing[1:]}" if closing.startswith("I'd") else f"{text} {closing}"
@@ -66,123 +78,205 @@ def copied(prompt: str, rng: np.random.Generator) -> str:
     return str(rng.choice(np.array(forms, dtype=object)))
 
 
-def pair_features(pairs: list[tuple[str | None, str | None]], use: endings.WordUse, lines: LinearModel, tongue: LinearModel, with_end: bool = True) -> list[tuple[list[str], list[str], float, bool]]:
-    """Of every pair (prompt, answer): pair features over the whole texts, the word n-grams of an answer of up to
-    GRAM_WORDS words, the ending evidence, and whether the answer is neither empty nor a copy.
+@dataclass
+class PairFeatures:
+    """Features of many pairs: places in the weights and values, one stretch per pair, and what else is known of it."""
 
-    with_end=False leaves the ending out, for tables whose cut rows are decided elsewhere.
+    places: np.ndarray
+    values: np.ndarray
+    sizes: np.ndarray
+    evidence: np.ndarray
+    usable: np.ndarray
+
+
+@lru_cache(maxsize=10_000)
+def _pair_place(name: str) -> int:
+    """Pair features have the first PAIR places, n-grams the others."""
+    return zlib.crc32(name.encode()) % (PAIR // len(KINDS)) + KINDS[name.partition(":")[0]] * (PAIR // len(KINDS))
+
+
+def featurize(pairs: list[tuple[str | None, str | None]], use: endings.WordUse, lines: LinearModel, lexicon: language.Lexicon) -> PairFeatures:
+    """Of every pair (prompt, answer): pair features over the whole texts, the word n-grams (1 to 3) of the whole
+    answer after a leading prompt, the ending evidence, and whether the answer is neither empty nor a copy.
+
+    The n-grams of an answer share one length, so that a long answer does not outweigh a short one.
     """
-    bodies, found = [], []
-    may = language.allowed_of(tongue, [p for p, _ in pairs])
-    for prompt, answer in pairs:
+    n = len(pairs)
+    names, parts, owner, texts, bodies, usable = [], [], [], [], [], np.zeros(n, bool)
+    for k, (prompt, answer) in enumerate(pairs):
         text = answer or ""
-        every = folded(text)
+        got = pairtext.parts_of(text)
+        every = [w for w in got if w not in pairtext.BREAKS]
+        asked = pairtext.folded_prompt(prompt)
         empty, copy = is_empty(text, every), is_copy(text, prompt, every)
-        body = without_prompt(text, prompt)
-        words, asked = (every if body is text else folded(body)), folded(prompt)
-        known = set(asked)
-        cover = sum(w in known for w in words) / len(words) if words else 1.0
-        out = [f"empty:{empty}", f"copy:{copy}", f"words:{min(len(words), 8) if len(words) < 8 else 8 + int(np.log2(len(words)))}", f"cover:{int(cover * 10)}", f"long:{int(4 * np.log2((len(words) + 1) / (len(asked) + 1)))}"]
-        evidence, usable = 0.0, not empty and not copy
-        if usable and with_end:
-            end = endings.ending_of(body if body.strip() else text)
-            evidence = endings.cut_evidence(end, float(lines.log_odds(endings.line_features(end.segment, use))[0]) if end.segment else 0.0)
-            if text.rstrip().endswith("�"):
-                evidence = max(evidence, 6.0)
-            out.append(f"end:{int(np.clip(evidence, -8, 8))}")
-        grams = [] if len(words) > GRAM_WORDS else sorted({f"1:{w}" for w in words} | {f"2:{x} {y}" for x, y in zip(words, words[1:])} | {f"3:{x} {y} {z}" for x, y, z in zip(words, words[1:], words[2:])})
-        bodies.append(body if usable else "")
-        found.append((out, grams, evidence, usable))
-    for (out, _, _, usable), share in zip(found, language.foreign_shares(tongue, bodies, [may[p] for p, _ in pairs])):
-        if usable:
-            out += [f"foreign:{int(share * 10)}", f"foreign:{share > 0.6}"]
-    return found
-
-
-def synthesize(pairs: list[tuple[str, str]], foreign: dict[str, list[str]], tongue: LinearModel, rng: np.random.Generator) -> list[tuple[str, str, int]]:
-    """(prompt, answer, defect number or -1): every pair as it is and once with every defect."""
+        body, skip = without_prompt(text, prompt), 0
+        if body is not text:
+            skip = len(folded(text[: len(text) - len(body)]))
+            words, seen, at = every[skip:], 0, 0
+            while seen < skip and at < len(got):
+                seen += got[at] not in pairtext.BREAKS
+                at += 1
+            got = got[at:]
+        else:
+            words = every
+        cover = sum(map(frozenset(asked).__contains__, words)) / len(words) if words else 1.0
+        size = len(words)
+        names.append([f"empty:{empty}", f"copy:{copy}", f"words:{size if size < 8 else 8 + int(math.log2(size))}", f"cover:{int(cover * 10)}", f"long:{int(4 * math.log2((size + 1) / (len(asked) + 1)))}"])
+        usable[k] = not empty and not copy
+        parts += got
+        owner.append(len(got))
+        texts.append(text)
+        bodies.append(body)
+    evidence = np.zeros(n)
+    judged = np.flatnonzero(usable)
+    evidence[judged] = ending_evidence([texts[k] for k in judged], [bodies[k] for k in judged], use, lines)
+    may = np.zeros((n, len(language.LANGUAGES)), bool)
+    allowed: dict[str | None, set[int]] = {}
+    for k, (prompt, _) in enumerate(pairs):
+        if prompt not in allowed:
+            allowed[prompt] = language.allowed(lexicon, prompt)
+        may[k, sorted(allowed[prompt])] = True
+    ids, owner = lexicon.numbers(parts), np.repeat(np.arange(n), owner)
+    shares = language.foreign_shares(lexicon, ids, owner, may)
+    for k in judged:
+        names[k] += [f"end:{int(np.clip(evidence[k], -8, 8))}", f"foreign:{int(shares[k] * 10)}", f"foreign:{shares[k] > 0.6}"]
+    words = np.flatnonzero(ids)
+    code, of = lexicon.hash[ids[words]], owner[words]
+    two = np.flatnonzero(of[:-1] == of[1:]) if len(of) else of
+    three = np.flatnonzero(of[:-2] == of[2:]) if len(of) > 2 else of[:0]
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    pair_code = (code[two] * mix ^ (code[two] >> np.uint64(29))) + code[two + 1] if len(two) else code[:0]
+    three_code = ((code[three] * mix ^ (code[three] >> np.uint64(29))) + code[three + 1]) * mix + code[three + 2] + np.uint64(1) if len(three) else code[:0]
+    gram = PAIR + (((np.concatenate([code, pair_code, three_code]) * mix) >> np.uint64(24)) % np.uint64(FEATURES - PAIR)).astype(np.int64)
+    gram_of = np.concatenate([of, of[two], of[three]])
+    number = np.bincount(gram_of, minlength=n)
+    own = np.repeat(np.arange(n), [len(x) for x in names])
+    places = np.concatenate([np.fromiter((_pair_place(f) for x in names for f in x), np.int64, len(own)), gram])
+    values = np.concatenate([np.ones(len(own)), GRAM / np.sqrt(np.maximum(number, 1))[gram_of]])
+    rows = np.concatenate([own, gram_of])
+    order = np.argsort(rows, kind="stable")
+    return PairFeatures(places[order], values[order].astype(np.float32), np.bincount(rows, minlength=n), evidence, usable)
+
+
+def synthesize(pairs: list[tuple[str, str]], foreign: dict[str, list[str]], lexicon: language.Lexicon, rng: np.random.Generator, statements: tuple[str, ...] = STATEMENTS) -> list[tuple[str, str, int]]:
+    """(prompt, answer, defect number or -1): every pair as it is, with the answer to another prompt (which is no defect
+    here), and once with every defect."""
     out = []
     names = [k for k, v in foreign.items() if v]
     for prompt, answer in pairs:
         out.append((prompt, answer, -1))
+        if rng.random() < 0.3:
+            other, body = pairs[int(rng.integers(len(pairs)))]
+            body = without_prompt(body, other)
+            if language.allowed(lexicon, prompt) & language.allowed(lexicon, other) and len(body) > 30:
+                out.append((prompt, body, -1))
         out.append((prompt, str(rng.choice(np.array(NOTHING, dtype=object))), 0))
         body = without_prompt(answer, prompt)
         if len(body) > 30:
             cut = answer[: len(answer) - len(body) + int(rng.integers(12, len(body) - 4))]
             out.append((prompt, cut + str(rng.choice(np.array(["", "", "", "", "...", "…", " [...]", "... [clipped]", "\n..."], dtype=object))), 1))
         lead = f"{prompt}{rng.choice(np.array([' ', chr(10)], dtype=object))}" if rng.random() < 0.3 else ""
-        out += [(prompt, lead + refusal(rng), 2) for _ in range(3)]
+        out += [(prompt, lead + refusal(rng, statements), 2) for _ in range(2)]
+        out.append((prompt, lead + " ".join(refusal(rng, statements) for _ in range(int(rng.integers(2, 7)))), 2))  # one of many words
+        end = "\n".join(x for x in body.strip().split("\n") if x.strip()).split("\n")[-int(rng.integers(1, 4)) :]
+        out.append((prompt, "\n".join(end), -1))  # few words are no refusal
+        if rng.random() < 0.4:
+            end[-1] = f"{rng.choice(REGRETS)} {end[-1][:1].lower()}{end[-1][1:]}"
+            out.append((prompt, "\n".join(end), -1))  # nor is regret within a poem
         out.append((prompt, copied(prompt, rng), 3))
-        may = language.allowed(tongue, prompt)
+        may = language.allowed(lexicon, prompt)
         other = [n for n in names if language.LANGUAGES.index(n) not in may]
         if other:
-            out.append((prompt, lead + str(rng.choice(np.array(foreign[str(rng.choice(other))], dtype=object))), 4))
+            spoken = foreign[str(rng.choice(other))]
+            text, asks = spoken[int(rng.integers(len(spoken)))], spoken[int(rng.integers(len(spoken)))]
+            line = asks.strip().split("\n")[0]
+            out += [(prompt, lead + text, 4), (line, text, -1)]  # the same words where they were asked for
+            if len(body) > 30 and rng.random() < 0.4:
+                out.append((line, body, 4))
     return out
 
 
-#: The features that bear on each label; all other weights of a label are zero, so that no label learns the
-#: vocabulary of the examples but "refusal", which rests on wording.
+#: The pair features that bear on each label, beside the n-grams, which bear on all.
 BEARING = {"empty": ("empty",), "truncated": ("end",), "refusal": ("words", "long", "copy"), "copy": ("copy", "cover", "long"), "language": ("foreign",)}
 
 
-def label_features(pair: list[str], grams: list[str]) -> list[list[str]]:
-    """Per label the features that bear on it."""
-    kind = [f.partition(":")[0] for f in pair]
-    return [[f for f, k in zip(pair, kind) if k in BEARING[d]] + (grams if d == "refusal" else []) for d in DEFECTS]
+def _bears() -> np.ndarray:
+    out = np.zeros((FEATURES, len(DEFECTS)), np.float32)
+    out[PAIR:] = 1.0
+    out[PAIR:, DEFECTS.index("refusal")] = WORDING
+    span = PAIR // len(KINDS)
+    for k, d in enumerate(DEFECTS):
+        for kind in BEARING[d]:
+            out[KINDS[kind] * span : (KINDS[kind] + 1) * span, k] = 1.0
+    return out
 
 
 class PairClassifier:
     """The trained models, one row of weights per label, and calibrated thresholds."""
 
-    def __init__(self, use: endings.WordUse, lines: LinearModel, tongue: LinearModel, labels: list[LinearModel], thresholds: np.ndarray) -> None:
+    def __init__(self, use: endings.WordUse, lines: LinearModel, tongue: LinearModel, labels: LinearModel, thresholds: np.ndarray) -> None:
         self.use, self.lines, self.tongue, self.labels, self.thresholds = use, lines, tongue, labels, thresholds
 
-    def log_odds(self, pair: list[str], grams: list[str]) -> np.ndarray:
-        return np.array([m.log_odds(f)[0] for m, f in zip(self.labels, label_features(pair, grams))])
+    @cached_property
+    def lexicon(self) -> language.Lexicon:
+        return language.Lexicon(self.tongue)
 
-    def margins(self, pairs: list[tuple[str | None, str | None]], with_end: bool = True) -> list[tuple[np.ndarray, float, bool]]:
-        """Per pair the log-odds over the thresholds, the ending evidence, and whether there is an answer to judge."""
-        return [(self.log_odds(p, g) - self.thresholds, e, u) for p, g, e, u in pair_features(pairs, self.use, self.lines, self.tongue, with_end)]
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "lexicon"}
+
+    def margins(self, pairs: list[tuple[str | None, str | None]], fitted: tuple[endings.WordUse, LinearModel] | None = None) -> tuple[np.ndarray, PairFeatures]:
+        """The log-odds over the thresholds of every pair and label, and the features; fitted: word counts and line
+        model to judge the endings by, where they are not the classifier's own."""
+        use, lines = fitted or (self.use, self.lines)
+        found = featurize(pairs, use, lines, self.lexicon)
+        return self.labels.many(found.places, found.sizes, found.values) - self.thresholds, found
 
 
 def train(pairs: list[tuple[str, str]], foreign: dict[str, list[str]], use: endings.WordUse, lines: LinearModel, tongue: LinearModel, seed: int = 11) -> PairClassifier:
     """Trained in two rounds: pairs of the sample that the first classifier finds defective are no sound examples in the second."""
-    sound = [(p, a) for p, a in pairs if p and a and not is_empty(a) and not is_copy(a, p) and _looks_sound(p, a, use, lines, tongue)]
-    out = None
-    for _ in range(2):
-        if out is not None:
-            sound = [pair for pair, (m, _, _) in zip(sound, out.margins(sound)) if (m + out.thresholds).max() < 0]
-        out = _train_once(sound, foreign, use, lines, tongue, seed)
+    lexicon = language.Lexicon(tongue)
+    told = [(p, a) for p, a in pairs if p and a]
+    found = featurize(told, use, lines, lexicon)
+    span = PAIR // len(KINDS)
+    foreign_mark = np.bincount(np.repeat(np.arange(len(told)), found.sizes)[found.places == _pair_place("foreign:True")], minlength=len(told)) > 0
+    sound = [pair for k, pair in enumerate(told) if found.usable[k] and found.evidence[k] < 1 and not foreign_mark[k] and not _may_refuse(*pair)]
+    out = _calibrated(sound, foreign, use, lines, lexicon, seed)
+    sound = [pair for pair, m in zip(sound, out.margins(sound)[0]) if (m + out.thresholds).max() < 0] if sound else sound
+    out = _calibrated(sound, foreign, use, lines, lexicon, seed)
+    out.labels = _fitted(*_examples(sound, foreign, use, lines, lexicon, np.random.default_rng(seed), STATEMENTS), seed)
     return out
 
 
-def _train_once(sound: list[tuple[str, str]], foreign: dict[str, list[str]], use: endings.WordUse, lines: LinearModel, tongue: LinearModel, seed: int) -> PairClassifier:
-    rng = np.random.default_rng(seed)
-    examples = synthesize(sound, foreign, tongue, rng)
-    sizes = [FEATURES if d == "refusal" else SMALL for d in DEFECTS]
-    ids: list[list[np.ndarray]] = [[] for _ in DEFECTS]
-    for lo in range(0, len(examples), 500):  # numbers at once: the names of all features would not fit the driver
-        for pair, grams, _, _ in pair_features([(p, a) for p, a, _ in examples[lo : lo + 500]], use, lines, tongue):
-            for own, f, size in zip(ids, label_features(pair, grams), sizes):
-                own.append(hash_ids(f, size).astype(np.int32))
+def _examples(sound: list[tuple[str, str]], foreign: dict[str, list[str]], use: endings.WordUse, lines: LinearModel, lexicon: language.Lexicon, rng: np.random.Generator, statements: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, values, sizes and labels of the synthetic examples of the pairs."""
+    examples = synthesize(sound, foreign, lexicon, rng, statements)
+    parts = [featurize([(p, a) for p, a, _ in examples[lo : lo + 1000]], use, lines, lexicon) for lo in range(0, max(len(examples), 1), 1000)]
     labels = np.array([[float(d == k) for k in range(len(DEFECTS))] for _, _, d in examples]).reshape(-1, len(DEFECTS))
-    held = rng.random(len(examples)) < 0.2
-    models = [fit([f for f, h in zip(own, held) if not h], labels[~held][:, k : k + 1], size, epochs=4, seed=seed) for k, (own, size) in enumerate(zip(ids, sizes))]
-    out = PairClassifier(use, lines, tongue, models, np.zeros(len(DEFECTS)))
-    scores = np.array([[m.log_odds(f)[0] for f, h in zip(own, held) if h] for m, own in zip(models, ids)]).reshape(len(DEFECTS), -1).T
-    out.thresholds = np.array([_best_threshold(scores[:, k], labels[held][:, k]) for k in range(len(DEFECTS))])
-    return out
+    return *(np.concatenate([getattr(p, a) for p in parts]) for a in ("places", "values", "sizes")), labels
+
+
+def _fitted(places: np.ndarray, values: np.ndarray, sizes: np.ndarray, labels: np.ndarray, seed: int) -> LinearModel:
+    return fit(places, sizes, labels, FEATURES, values, _bears(), epochs=8, seed=seed)
+
+
+def _calibrated(sound: list[tuple[str, str]], foreign: dict[str, list[str]], use: endings.WordUse, lines: LinearModel, lexicon: language.Lexicon, seed: int) -> PairClassifier:
+    """Trained on four fifths of the pairs, with thresholds from the others, which are refused in other words."""
+    rng = np.random.default_rng(seed)
+    held, other = rng.random(len(sound)) < 0.2, rng.random(len(STATEMENTS)) < 0.25
+    split = [(tuple(s for s, o in zip(STATEMENTS, other) if o == part), [p for p, h in zip(sound, held) if h == part]) for part in (False, True)]
+    model = _fitted(*_examples(split[0][1], foreign, use, lines, lexicon, rng, split[0][0]), seed)
+    places, values, sizes, labels = _examples(split[1][1], foreign, use, lines, lexicon, rng, split[1][0])
+    scores = model.many(places, sizes, values)
+    return PairClassifier(use, lines, lexicon.model, model, np.array([_best_threshold(scores[:, k], labels[:, k]) for k in range(len(DEFECTS))]))
 
 
 _REFUSING = re.compile(r"\b(?:sorry|apolog\w+|unable|cannot|can't|decline\w*|won't|rather not|not able|not allowed|guidelines)\b", re.I)
 
 
-def _looks_sound(prompt: str, answer: str, use: endings.WordUse, lines: LinearModel, tongue: LinearModel) -> bool:
+def _may_refuse(prompt: str, answer: str) -> bool:
+    """Whether a sampled answer is kept out of the sound examples; the classifier itself never asks this."""
     body = without_prompt(answer, prompt)
-    end = endings.ending_of(body)
-    odds = float(lines.log_odds(endings.line_features(end.segment, use))[0]) if end.segment else 0.0
-    short = len(folded(body)) < 40 and _REFUSING.search(body.replace("’", "'"))
-    return not short and endings.cut_evidence(end, odds) < 1 and language.foreign_share(tongue, body, language.allowed(tongue, prompt)) < 0.5
+    return len(folded(body)) < 40 and bool(_REFUSING.search(body.replace("’", "'")))
 
 
 def _best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
@@ -197,84 +291,75 @@ def _best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
     k = int(np.argmax(f1))
     low = s[k + 1] if np.isfinite(s[k + 1]) else s[k] - 1
     middle, typical = (s[k] + low) / 2, float(np.median(s[:-1][t > 0]))
-    return float(middle + min(move, 0.35 * max(typical - middle, 0.0)))
-
-
-def _rows(df: DataFrame, answer: str, source: str) -> DataFrame:
-    return spread(df.select("row_id", "prompt", F.col(answer).alias("text"), F.col(source).cast("string").alias("source")).where("row_id is not null"))
+    return float(middle + min(move, 0.2 * max(typical - middle, 0.0)))
 
 
 def fit_classifier(tables: list[DataFrame], documents: DataFrame, known_use: endings.WordUse, new: list[DataFrame], sample: int = SAMPLE) -> PairClassifier:
     """Trained on the pairs (row_id, prompt, text) of the tables and on documents labelled by language.
 
-    known_use: word counts of all tables but those of `new`, which are counted here.
+    known_use: word counts of all tables but those of `new`, which are counted here. The bounded training samples are
+    `sample` pairs, endings.SAMPLE texts of each table and language.SAMPLE documents of each language.
     """
     use = known_use
     for t in new:
         use = endings.word_use(t.where("text is not null")) + use
-    tongue = language.train(documents)
-    pairs = [(r["prompt"], r["text"]) for t in tables for r in t.where("prompt is not null and length(text) > 0").orderBy(F.xxhash64("row_id"), "row_id").limit(sample // len(tables)).collect()]
-    texts = {r["text"] for t in tables for r in t.where("length(text) > 40").orderBy(F.xxhash64("row_id"), "row_id").limit(endings.SAMPLE).select("text").collect()}
+    tongue, spoken = language.train(documents)
+    pairs, texts = [], set()
+    for t in tables:
+        rows = hash_sample(t.select("row_id", "prompt", "text").where("length(text) > 0"), max(endings.SAMPLE, sample), "row_id")
+        pairs += [(r["prompt"], r["text"]) for r in rows if r["prompt"] is not None][: sample // len(tables)]
+        texts |= {r["text"] for r in rows if len(r["text"]) > 40}
     lines = endings.train(sorted(texts), use)
-    per = F.row_number()
-    from pyspark.sql import Window
-
-    lang = F.lower(F.btrim("lang"))
-    docs = documents.select(lang.alias("lang"), "doc_id", "text").where(F.col("lang").isin(*language.LANGUAGES) & F.length("text").between(40, 3000))
-    docs = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("b", F.pmod("h", F.lit(64)))
-    docs = docs.withColumn("n", per.over(Window.partitionBy("lang", "b").orderBy("h", "doc_id"))).where("n <= 40").withColumn("n", per.over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where("n <= 40")
-    foreign: dict[str, list[str]] = {}
-    for r in sorted(docs.select("lang", "text").collect()):
-        z = language.odds(tongue, r["text"][:2000])
-        if int(np.argmax(z)) == language.LANGUAGES.index(r["lang"]):
-            foreign.setdefault(r["lang"], []).append(r["text"])
+    lexicon, foreign = language.Lexicon(tongue), {}
+    for name, text in spoken:
+        if len(text) <= 3000 and len(foreign.get(name, ())) < 40 and int(np.argmax(language.odds(lexicon, text))) == language.LANGUAGES.index(name):
+            foreign.setdefault(name, []).append(text)
     return train(sorted(set(pairs)), foreign, use, lines, tongue)
 
 
-def defective(rows: DataFrame, classifier: PairClassifier, exact_cuts: DataFrame | None = None) -> DataFrame:
-    """row_id, defect of every defective pair of rows (row_id, prompt, text, source); one row per row_id.
+def scored_pairs(rows: DataFrame, classifier: PairClassifier, fitted: tuple[endings.WordUse, LinearModel] | None = None) -> DataFrame:
+    """SCORED and one column of log-odds over the threshold per defect, of the distinct rows (read_rows): one pass over
+    the texts. A null text is read as the empty one. fitted: as for margins."""
+    shared = rows.sparkSession.sparkContext.broadcast((classifier, fitted))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, own = shared.value
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                b = batch.iloc[lo : lo + 500].reset_index(drop=True)
+                b["text"] = b["text"].fillna("")
+                m, found = c.margins(list(zip(b["prompt"], b["text"])), own)
+                yield pd.concat([measured(b, found.evidence, found.usable), pd.DataFrame(np.clip(m, -50, 50), columns=list(DEFECTS))], axis=1)
+
+    schema = SCORED.format(kind=rows.schema["row_id"].dataType.simpleString()) + ", " + ", ".join(f"{d} double" for d in DEFECTS)
+    return cut_lineage(rows.mapInPandas(score, schema).distinct())
+
+
+def defective(scored: DataFrame, exact_cuts: DataFrame | None = None) -> DataFrame:
+    """row_id, defect of every defective pair of scored_pairs; one row per row_id.
 
     A null or blank text is empty; a null prompt allows every language and copies nothing. exact_cuts: row_id of just
     the rows that are truncated, decided elsewhere; without it the odds of "truncated" are moved by the censoring odds
     at the limits of each source, and the posterior of a cut must agree. Rows of one row_id with different texts take the defect that sorts first.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(classifier)
-    kind = rows.schema["row_id"].dataType.simpleString()
-    n, with_end = len(DEFECTS), exact_cuts is None
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        for batch in batches:
-            for lo in range(0, len(batch), 500):
-                b = batch.iloc[lo : lo + 500]
-                out = []
-                for i, s, t, (m, evidence, usable) in zip(b["row_id"], b["source"], b["text"], c.margins(list(zip(b["prompt"], b["text"])), with_end)):
-                    t = t or ""
-                    m = np.clip(m, -50, 50) if not is_empty(t) else np.array([50.0] + [-50.0] * (n - 1))
-                    out.append((i, s, len(t), len(t.encode("utf-8", "surrogatepass")), evidence, usable, *m))
-                yield pd.DataFrame(out, columns=["row_id", "source", "chars", "bytes", "evidence", "usable", *DEFECTS])
-
-    schema = f"row_id {kind}, source string, chars int, bytes int, evidence double, usable boolean, " + ", ".join(f"{d} double" for d in DEFECTS)
-    scored = rows.mapInPandas(score, schema).distinct()
     if exact_cuts is not None:
         marked = scored.join(exact_cuts.select("row_id", F.lit(True).alias("_cut")).hint("merge"), "row_id", "left")
         scored = marked.withColumn("truncated", F.when(F.col("_cut"), 1000.0).otherwise(-1000.0)).drop("_cut")
     else:
-        scored = cut_lineage(scored)
         shift = F.greatest(F.lit(0.0), limit_log_odds() - F.lit(PRIOR))
         both = F.least(F.col("truncated") + F.coalesce(shift, F.lit(0.0)), limit_log_odds() + F.col("evidence"))
-        scored = at_limits(scored).withColumn("truncated", both)
+        scored = at_limits(scored).withColumn("truncated", F.when(F.col("usable"), both).otherwise(-50.0))
     top = F.greatest(*DEFECTS)
-    defect = F.coalesce(*[F.when(F.col(d) == top, d) for d in DEFECTS])
+    defect = F.coalesce(*[F.when(F.col(d) == top, F.lit(d)) for d in DEFECTS])
     return scored.where(top > 0).groupBy("row_id").agg(F.min(defect).alias("defect"))
 
 
 def broken_pairs(outputs: DataFrame, sweep: DataFrame, documents: DataFrame, names: tuple[str, str]) -> DataFrame:
     """source_table, row_id, defect over both tables; the sweep's truncated rows are those of cut_posteriors."""
-    left, right = _rows(outputs, "poem", "model"), _rows(sweep, "output", "run_name")
+    left, right = read_rows(outputs, "row_id", "model", "prompt", "poem", None), read_rows(sweep, "row_id", "run_name", "prompt", "output", "output_length")
     fitted = fit_endings(right.where("text is not null"))
-    exact = cut_posteriors(sweep, fitted=fitted).where("filled and log_odds > 0")
     classifier = fit_classifier([left, right], documents, fitted[0], [left])
-    a = defective(left, classifier).withColumn("source_table", F.lit(names[0]))
-    b = defective(right, classifier, exact_cuts=exact).withColumn("source_table", F.lit(names[1]))
-    return a.unionByName(b).select("source_table", "row_id", "defect")
+    a, b = scored_pairs(left, classifier), scored_pairs(right, classifier, fitted)
+    exact = posteriors_of(b).where("filled and log_odds > 0")
+    out = defective(a).withColumn("source_table", F.lit(names[0])).unionByName(defective(b, exact).withColumn("source_table", F.lit(names[1])))
+    return out.select("source_table", "row_id", "defect")

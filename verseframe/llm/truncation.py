@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from verseframe.llm import endings
 from verseframe.llm.linear import LinearModel
-from verseframe.llm.pairtext import is_copy, is_empty, without_prompt
+from verseframe.llm.pairtext import folded, is_copy, is_empty, without_prompt
+from verseframe.operators.sampling import hash_sample
 from verseframe.operators.skew import HOT_ROWS, salted_lookup
 from verseframe.operators.spread import spread
 from verseframe.session import cut_lineage
@@ -64,37 +65,44 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, censored: dict[int, fl
     return mu, sd
 
 
-def find_limits(hist: pd.DataFrame, min_rows: int = 3, max_p: float = 1e-4) -> pd.DataFrame:
-    """hist: length, bin, n of one source and unit. Returns length, share: limits and the share of rows cut there."""
-    per = hist.groupby("length")["n"].sum()
-    lengths, counts = per.index.to_numpy(), per.to_numpy()
-    total, out, cut = counts.sum(), [], {}
-    order = np.argsort(lengths)
-    lengths, counts = lengths[order], counts[order]
-    for i, (length, n) in enumerate(zip(lengths, counts)):
-        width = max(10, int(length * 0.15))
-        near = (np.abs(lengths - length) <= width) & (np.arange(len(lengths)) != i)
-        expect = max(counts[near].sum() / (2 * width), 0.02 * total / max(lengths.max(), 1), 1e-9)
-        if n >= min_rows and _poisson_tail(int(n), expect) < max_p / max(1, len(lengths)) * 10:
-            out.append((int(length), float(n), float(expect)))
-    for length, n, expect in out:
-        cut[length] = max(n - expect, 0.0)
+def find_limits(hist: pd.DataFrame, min_rows: int = 3, max_p: float = 1e-4, tolerance: float = 0.5) -> pd.DataFrame:
+    """hist: length, bin, n of one source and unit. Returns length, share: limits and the share of rows cut there.
+
+    Candidates are lengths with more rows than chance allows beside their neighbours. The share of cut rows at each is
+    the most likely one given the endings of its rows and the number of whole texts that may end there, which is what
+    the fitted length distribution and the neighbours let expect, up to a factor of about exp(tolerance). Linear in
+    the number of different lengths but for sorting.
+    """
+    per = hist.groupby("length")["n"].sum().sort_index()
+    lengths, counts = per.index.to_numpy(), per.to_numpy().astype(float)
+    empty = pd.DataFrame({"length": np.zeros(0, int), "share": np.zeros(0)})
+    if not len(lengths):
+        return empty
+    total, sums = counts.sum(), np.concatenate([[0.0], np.cumsum(counts)])
+    width = np.maximum(10, (lengths * 0.15).astype(int))
+    near = sums[np.searchsorted(lengths, lengths + width, "right")] - sums[np.searchsorted(lengths, lengths - width, "left")] - counts
+    expect = np.maximum(np.maximum(near / (2 * width), 0.02 * total / max(lengths.max(), 1)), 1e-9)
+    level = max_p / len(lengths) * 10
+    least = counts * np.log(expect) - expect - np.array([math.lgamma(n + 1) for n in counts])  # of the tail's logarithm
+    likely = np.flatnonzero((counts >= min_rows) & (counts > expect) & (least < math.log(level)))
+    found = [i for i in likely if _poisson_tail(int(counts[i]), float(expect[i])) < level]
+    if not found:
+        return empty
+    at = hist[hist["length"].isin(lengths[found])]
+    endings_at = {int(k): (np.exp(np.clip(g["bin"].to_numpy(float), -12, 12)), g["n"].to_numpy(float)) for k, g in at.groupby("length")}
+    shares = np.linspace(0.001, 0.999, 400)
+    cut = {int(lengths[i]): max(counts[i] - expect[i], 0.0) for i in found}
     for _ in range(3):
         mu, sd = fit_censored(lengths, counts, cut)
-        for length, n, expect in out:
+        for i in found:
+            length = int(lengths[i])
             z = (math.log(max(length, 1)) - mu) / sd
-            density = math.exp(-0.5 * z * z) / (length * sd * math.sqrt(2 * math.pi))
-            tail = float(1 - _phi(z))
-            natural = max(expect, total * density * 0.5)
-            share = min(max(1 - natural / n, 0.01), 0.99) * (tail > 1e-6)
-            bins = hist[hist["length"] == length]
-            ratio = np.exp(np.clip(bins["bin"].to_numpy(dtype=float), -12, 12))
-            weight = bins["n"].to_numpy(dtype=float)
-            for _ in range(50):
-                post = share * ratio / (share * ratio + 1 - share)
-                share = min(max(float((post * weight).sum() / weight.sum()), 1e-4), 1 - 1e-4)
-            cut[length] = share * n
-    return pd.DataFrame([(length, cut[length] / n) for length, n, _ in out], columns=["length", "share"])
+            natural = max(expect[i], total * math.exp(-0.5 * z * z) / (max(length, 1) * sd * math.sqrt(2 * math.pi)))
+            ratio, n = endings_at[length]
+            score = (np.log(shares[:, None] * ratio[None, :] + 1 - shares[:, None]) * n[None, :]).sum(axis=1)
+            score -= np.log(((1 - shares) * counts[i] + 0.5) / (natural + 0.5)) ** 2 / (2 * (tolerance**2 + 1 / (natural + 0.5)))
+            cut[length] = float(shares[np.argmax(score)]) * counts[i]
+    return pd.DataFrame([(int(lengths[i]), cut[int(lengths[i])] / counts[i]) for i in found], columns=["length", "share"])
 
 
 def _poisson_tail(n: int, rate: float) -> float:
@@ -113,37 +121,53 @@ def _poisson_tail(n: int, rate: float) -> float:
 def fit_endings(rows: DataFrame) -> tuple[endings.WordUse, LinearModel]:
     """Word counts over all rows (row_id, text) and the line model trained on a bounded sample of them."""
     use = endings.word_use(rows)
-    sample = rows.select("text", "row_id").where("length(text) > 40").orderBy(F.xxhash64("row_id"), "row_id").limit(endings.SAMPLE)
-    return use, endings.train(sorted({r[0] for r in sample.select("text").collect()}), use)
+    sample = hash_sample(rows.select("row_id", "text").where("length(text) > 40"), endings.SAMPLE, "row_id")
+    return use, endings.train(sorted({r["text"] for r in sample}), use)
+
+
+def ending_evidence(texts: list[str], bodies: list[str], use: endings.WordUse, lines: LinearModel) -> np.ndarray:
+    """Log-likelihood ratio of cut against complete, from the ending of every body (of the text where that is blank)."""
+    ends = [endings.ending_of(b if b.strip() else t) for t, b in zip(texts, bodies)]
+    got = np.array([endings.cut_evidence(e, w) for e, w in zip(ends, endings.line_odds(ends, use, lines))])
+    lost = np.array([t.rstrip().endswith("�") for t in texts], dtype=bool)
+    return np.where(lost, np.maximum(got, 6.0), got) if len(got) else np.zeros(0)
+
+
+#: What is known of a row's text once it has been read.
+SCORED = "row_id {kind}, source string, chars int, bytes int, words int, recorded long, evidence double, usable boolean, filled boolean"
+
 
+def measured(batch: pd.DataFrame, evidence: np.ndarray, usable: list[bool]) -> pd.DataFrame:
+    """The columns of SCORED for a batch of row_id, source, text, recorded."""
+    texts = batch["text"].tolist()
+    out = pd.DataFrame({"row_id": batch["row_id"], "source": batch["source"]})
+    out["chars"], out["bytes"] = [len(t) for t in texts], [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
+    out["words"], out["recorded"] = [len(t.split()) for t in texts], batch["recorded"].astype("Int64")
+    out["evidence"], out["usable"], out["filled"] = evidence, usable, [bool(t.strip()) for t in texts]
+    return out
 
-def scored_rows(df: DataFrame, row_id: str, source: str, prompt: str, text: str, length: str | None, fitted: tuple | None = None) -> DataFrame:
-    """Distinct row_id, source, chars, bytes, words, recorded, evidence, usable: one pass over the texts, none shuffled."""
+
+def read_rows(df: DataFrame, row_id: str, source: str, prompt: str, text: str, length: str | None) -> DataFrame:
+    """row_id, source, prompt, text, recorded of the rows with an id."""
     recorded = F.col(length).cast("long") if length else F.lit(None).cast("long")
     rows = df.select(F.col(row_id).alias("row_id"), F.col(source).cast("string").alias("source"), F.col(prompt).alias("prompt"), F.col(text).alias("text"), recorded.alias("recorded"))
-    rows = spread(rows.where("row_id is not null and text is not null"))
-    shared = df.sparkSession.sparkContext.broadcast(fitted or fit_endings(rows))
+    return spread(rows.where("row_id is not null"))
+
+
+def scored_rows(rows: DataFrame, fitted: tuple | None = None) -> DataFrame:
+    """SCORED of the distinct rows (read_rows) with a text: one pass over the texts, none shuffled."""
+    rows = rows.where("text is not null")
+    shared = rows.sparkSession.sparkContext.broadcast(fitted or fit_endings(rows))
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use, model = shared.value
         for b in batches:
-            out = []
-            for i, s, p, t, rec in zip(b["row_id"], b["source"], b["prompt"], b["text"], b["recorded"]):
-                body = without_prompt(t, p)
-                usable = not is_empty(t) and not is_copy(t, p)
-                end = endings.ending_of(body if body.strip() else t)
-                words = float(model.log_odds(endings.line_features(end.segment, use))[0]) if end.segment else 0.0
-                evidence = endings.cut_evidence(end, words)
-                if t.rstrip().endswith("�"):
-                    evidence = max(evidence, 6.0)
-                out.append((i, s, len(t), len(t.encode("utf-8", "surrogatepass")), len(t.split()), None if rec != rec or rec is None else int(rec), evidence, usable, bool(t.strip())))
-            frame = pd.DataFrame(out, columns=["row_id", "source", "chars", "bytes", "words", "recorded", "evidence", "usable", "filled"])
-            frame["recorded"] = frame["recorded"].astype("Int64")
-            yield frame
-
-    schema = f"row_id {kind}, source string, chars int, bytes int, words int, recorded long, evidence double, usable boolean, filled boolean"
-    return cut_lineage(rows.mapInPandas(score, schema).distinct())
+            texts, prompts = b["text"].tolist(), b["prompt"].tolist()
+            usable = [not is_empty(t, w) and not is_copy(t, p, w) for t, p, w in zip(texts, prompts, map(folded, texts))]
+            yield measured(b, ending_evidence(texts, [without_prompt(t, p) for t, p in zip(texts, prompts)], use, model), usable)
+
+    return cut_lineage(rows.mapInPandas(score, SCORED.format(kind=kind)).distinct())
 
 
 def source_units(rows: DataFrame) -> DataFrame:
@@ -196,17 +220,16 @@ def cut_posteriors(df: DataFrame, row_id: str = "row_id", source: str = "run_nam
     text do not appear; blank texts, texts that hold no answer and mere copies of the prompt get very small odds
     unless the recorded length tells that more was there. A null source is a source of its own.
     """
-    rows = scored_rows(df, row_id, source, prompt, text, length, fitted)
-    keyed = rows.withColumn("_s", F.coalesce("source", F.lit("\x00")))
-    if length:
-        units = source_units(rows).select(F.coalesce("source", F.lit("\x00")).alias("_s"), "unit")
-        keyed = salted_lookup(keyed, units, "_s", min_rows=min_rows)
-        size = F.when(F.col("unit") == "bytes", F.col("bytes")).when(F.col("unit") == "words", F.col("words")).otherwise(F.col("chars"))
-        excess = F.col("recorded") - size
-        recorded = F.when(excess.isNull(), 0.0).when(excess > SLACK, LONGER).when(excess >= 0, EQUAL).otherwise(0.0)
-        keyed = keyed.withColumn("_recorded", recorded)
-    else:
-        keyed = keyed.withColumn("_recorded", F.lit(0.0))
+    return posteriors_of(scored_rows(read_rows(df, row_id, source, prompt, text, length), fitted), min_rows)
+
+
+def posteriors_of(rows: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+    """cut_posteriors from the columns of SCORED."""
+    units = source_units(rows).select(F.coalesce("source", F.lit("\x00")).alias("_s"), "unit")
+    keyed = salted_lookup(rows.withColumn("_s", F.coalesce("source", F.lit("\x00"))), units, "_s", min_rows=min_rows)
+    size = F.when(F.col("unit") == "bytes", F.col("bytes")).when(F.col("unit") == "words", F.col("words")).otherwise(F.col("chars"))
+    excess = F.col("recorded") - size
+    keyed = keyed.withColumn("_recorded", F.when(excess.isNull(), 0.0).when(excess > SLACK, LONGER).when(excess >= 0, EQUAL).otherwise(0.0))
     keyed = at_limits(keyed, min_rows)
     prior = limit_log_odds()
     odds = F.when(F.col("usable"), prior + F.col("evidence") + F.col("_recorded")).when(F.col("filled") & (F.col("_recorded") == LONGER), F.lit(1.0)).otherwise(F.lit(-20.0))
