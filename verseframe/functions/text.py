@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -18,6 +19,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often `use` names it, within loops over arrays too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_set(words: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -32,14 +38,26 @@ def clean(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), tokens, " "), SPACE + "+", " "))
 
 
+def _words_of(cleaned: Column) -> Column:
+    return F.transform(F.regexp_extract_all(cleaned, F.lit("[a-zA-Z']+"), F.lit(0)), F.lower)
+
+
 def words(c: Column | str) -> Column:
     """Lower-cased runs of letters and apostrophes of the cleaned text."""
-    return F.transform(F.regexp_extract_all(clean(c), F.lit("[a-zA-Z']+"), F.lit(0)), F.lower)
+    return _words_of(clean(c))
+
+
+def _word_number(cleaned: Column) -> Column:
+    return F.regexp_count(cleaned, F.lit("[a-zA-Z']+"))
+
+
+def _shape_of(cleaned: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(cleaned, r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{52F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]", "x"), r"[^\x00-\x7F]", " ")
 
 
 def ascii_shape(c: Column | str) -> Column:
     """Letters outside ASCII as x, other such characters as blanks, so that word patterns mean the same in every engine."""
-    return F.regexp_replace(F.regexp_replace(clean(c), r"[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{52F}\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]", "x"), r"[^\x00-\x7F]", " ")
+    return _shape_of(clean(c))
 
 
 def count(c: Column, pattern: str) -> Column:
@@ -52,34 +70,45 @@ def ratio(hits: Column, n: Column) -> Column:
 
 
 def imagery_density(c: Column | str, lexicon: tuple[str, ...] = K.IMAGERY) -> Column:
-    w = words(c)
-    return ratio(F.size(F.filter(w, lambda t: t.isin(list(lexicon)))), F.size(w))
+    return bind(words(c), lambda w: ratio(F.size(F.filter(w, lambda t: t.isin(list(lexicon)))), F.size(w)))
 
 
 def metaphor_density(c: Column | str) -> Column:
     """Matches of "w is w", "w becomes w", "w like w" and "w of w" per word, at least one word assumed."""
-    text = ascii_shape(c)
-    hits = sum((count(text, rf"(?i)\b\w+\s+{v}\s+\w+\b") for v in ("becomes", "like", "of")), count(text, r"(?i)\b\w+\s+is\s+\w+\b"))
-    return hits / F.greatest(F.lit(1), F.size(words(c)))
+
+    def of(cleaned: Column) -> Column:
+        hits = bind(_shape_of(cleaned), lambda text: sum(count(text, rf"(?i)\b\w+\s+{v}\s+\w+\b") for v in ("is", "becomes", "like", "of")))
+        return hits / F.greatest(F.lit(1), _word_number(cleaned))
+
+    return bind(clean(c), of)
 
 
 def compound_imagery(c: Column | str) -> Column:
-    text = ascii_shape(c)
-    return ratio((count(text, r"(?i)\b\w+\s+of\s+\w+\b") + count(text, r"(?i)\b\w+\s+\w+\b")) * 100.0, F.size(words(c)))
+    def of(cleaned: Column) -> Column:
+        hits = bind(_shape_of(cleaned), lambda text: count(text, r"(?i)\b\w+\s+of\s+\w+\b") + count(text, r"(?i)\b\w+\s+\w+\b"))
+        return bind(_word_number(cleaned), lambda n: ratio(hits * 100.0, n))
+
+    return bind(clean(c), of)
 
 
 def narrative_density(c: Column | str) -> Column:
     """Mean of the shares of -ed/-ing words, of dialogue marks and of motion verbs; 0 without words."""
-    text, n = ascii_shape(c), F.size(words(c))
-    verbs = count(text, r"(?i)\b\w+(?:ed|ing)\b")
-    talk = count(text, r"(?i)\b(?:he|she)\s+said\b") + count(clean(c), "[\"“”]")
-    motion = count(text, rf"(?i)\b(?:{'|'.join(K.MOTION)})\b")
-    return F.when(n == 0, F.lit(0.0)).otherwise((verbs / n + talk / n + motion / n) / 3.0)
+
+    def of(cleaned: Column, n: Column) -> Column:
+        def shares(text: Column) -> Column:
+            verbs = count(text, r"(?i)\b\w+(?:ed|ing)\b")
+            talk = count(text, r"(?i)\b(?:he|she)\s+said\b") + count(cleaned, "[\"“”]")
+            motion = count(text, rf"(?i)\b(?:{'|'.join(K.MOTION)})\b")
+            return (verbs / n + talk / n + motion / n) / 3.0
+
+        return F.when(n == 0, F.lit(0.0)).otherwise(bind(_shape_of(cleaned), shares))
+
+    return bind(clean(c), lambda cleaned: bind(_word_number(cleaned), lambda n: of(cleaned, n)))
 
 
 def repetition_index(tokens: Column) -> Column:
     """(length - distinct) / length of a token array, 0 where empty."""
-    return ratio(F.size(tokens) - F.size(F.array_distinct(tokens)), F.size(tokens))
+    return bind(tokens, lambda t: ratio(F.size(t) - F.size(F.array_distinct(t)), F.size(t)))
 
 
 def split_words(c: Column | str) -> Column:
@@ -210,21 +239,28 @@ def preview_lines(c: Column | str, n: int = 14) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Distinct n-grams of a token array, joined by blanks."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.array_distinct(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
+    """Distinct n-grams of a token array, joined by blanks; in time linear in its length."""
+
+    def of(t: Column) -> Column:
+        room = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        shifted = F.arrays_zip(*[F.slice(t, i + 1, room).alias(str(i)) for i in range(n)])
+        return F.array_distinct(F.transform(shifted, lambda x: F.concat_ws(" ", *[x[str(i)] for i in range(n)])))
+
+    return bind(tokens, of)
 
 
 def dice(a: Column, b: Column) -> Column:
     """2 |A and B| / (|A| + |B|), 0 where one is empty."""
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
+    both = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda s: both(s["a"], s["b"]))
 
 
 def content_jaccard(a: Column, b: Column) -> Column:
     """Jaccard of the words that are no stop words, 0 where one side has none."""
     stop = words_set(K.OVERLAP_STOP)
-    x, y = F.array_except(F.transform(a, F.lower), stop), F.array_except(F.transform(b, F.lower), stop)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    both = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    sides = F.struct(*[F.array_except(F.transform(c, F.lower), stop).alias(k) for k, c in (("a", a), ("b", b))])
+    return bind(sides, lambda s: both(s["a"], s["b"]))
 
 
 def has_repeats(tokens: Column) -> Column:

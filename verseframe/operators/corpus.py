@@ -20,17 +20,30 @@ def without_metadata(df: DataFrame, text: str) -> Column:
     return F.array_join(F.filter(F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n"), lambda x: ~T.is_metadata(x)), "\n")
 
 
+def frequent(keys: Column, more_than: int) -> Column:
+    """The elements that occur more than so many times; nulls are none. Sorted once."""
+
+    def of(k: Column) -> Column:
+        ahead = F.slice(k, more_than + 1, F.greatest(F.size(k), F.lit(1)))
+        same = F.filter(F.arrays_zip(k.alias("a"), ahead.alias("b")), lambda x: x["a"] == x["b"])
+        return F.array_distinct(F.transform(same, lambda x: x["a"]))
+
+    return T.bind(F.array_sort(F.array_compact(keys)), of)
+
+
 def without_repeated_titles(df: DataFrame, key: str, text: str, more_than: int = 2) -> DataFrame:
     """key, body: each text without the lines whose title key occurs more than twice in it.
 
-    One row per line is counted within its text; texts with repeated keys of `key` are not expected. A null text gives
-    no row.
+    All within a row, without a shuffle. A null text gives no row.
     """
-    rows = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).withColumn("_k", T.title_key("line"))
-    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key, "_k")))
-    kept = F.when(F.col("_k").isNull() | (F.col("_n") <= more_than), F.struct("pos", "line"))
-    per = counted.groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("_l"))
-    return per.select(key, F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("body"))
+
+    def of(rows: Column) -> Column:
+        many = frequent(F.transform(rows, lambda x: x["k"]), more_than)
+        kept = lambda often: F.filter(rows, lambda x: x["k"].isNull() | ~F.array_contains(often, x["k"]))
+        return T.bind(many, lambda often: F.array_join(F.transform(kept(often), lambda x: x["line"]), "\n"))
+
+    lines = F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(x.alias("line"), T.title_key(x).alias("k")))
+    return df.where(F.col(text).isNotNull()).select(key, T.bind(lines, of).alias("body"))
 
 
 def clean_source(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -61,22 +74,32 @@ def poems(text: Column | str, min_chars: int = 40) -> Column:
 
 def stanza_groups(text: Column | str, size: int = 2, min_lines: int = 1) -> Column:
     """Stanzas of at least min_lines lines in groups of `size`, the last may be short, joined by blank lines."""
-    t = T.strip(text)
-    s = F.filter(F.transform(F.split(t, "\n\n"), T.strip), lambda x: (x != "") & (F.size(F.split(x, "\n")) >= min_lines))
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(s, i, size), "\n\n"))
+    stanzas = F.filter(F.transform(F.split(T.strip(text), "\n\n"), T.strip), lambda x: (x != "") & (F.size(F.split(x, "\n")) >= min_lines))
+    starts = lambda s: F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return T.bind(stanzas, lambda s: F.transform(starts(s), lambda i: F.array_join(F.slice(s, i, size), "\n\n")))
 
 
 def sliding_blocks(tokens: Column, block: int) -> Column:
     """Blocks of `block` tokens at half-block steps; the tail is dropped, a shorter array gives none."""
-    last, step = F.size(tokens) - block, max(1, block // 2)
-    return F.transform(F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(tokens, i + 1, block))
+    step = max(1, block // 2)
+
+    def of(t: Column) -> Column:
+        last = F.size(t) - block
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(t, i + 1, block))
+
+    return T.bind(tokens, of)
 
 
 def fixed_blocks(tokens: Column, block: int) -> Column:
     """Consecutive blocks of `block` tokens of one batch; the remainder is dropped."""
-    n = F.floor(F.size(tokens) / block).cast("int")
-    return F.transform(F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(tokens, i * block + 1, block))
+
+    def of(t: Column) -> Column:
+        n = F.floor(F.size(t) / block).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(t, i * block + 1, block))
+
+    return T.bind(tokens, of)
 
 
 def pack_units(units: list[str], sizes: list[int], target: int, most: int, hard: int, overlap: float, size_of: Callable[[str], int]) -> list[str]:
@@ -133,6 +156,12 @@ def reflective_fragments(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def expand_lexicon(lexicon: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """word: the words of the lexicon and those of their synonyms (word, lemma) that are one word in small letters."""
+    more = synonyms.join(lexicon.select("word").distinct(), "word", "left_semi").where(F.col("lemma").rlike("^[a-z]+$"))
+    return lexicon.select("word").unionByName(more.select(F.col("lemma").alias("word"))).distinct()
+
+
 def length_bucket(n: Column, edges: list[tuple[str, Column]]) -> Column:
     out = None
     for name, test in edges:

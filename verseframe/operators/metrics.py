@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verseframe.functions import text as T
@@ -54,6 +56,19 @@ def token_shift(base: DataFrame, tuned: DataFrame, eps: float = 1e-12) -> DataFr
     return both.join(F.broadcast(totals)).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("kl"))  # totals: one row
 
 
+def token_shifts(base: DataFrame, tuned: DataFrame, key: str, eps: float = 1e-12) -> DataFrame:
+    """key, kl: token_shift of every key of tuned (key, token, n) at once; tokens of the base that a key lacks are
+    accounted for by their number and sums, not by rows of their own."""
+    b_total = base.agg(F.sum("n").cast("double").alias("_b"))  # one row
+    q0 = F.lit(eps)
+    own = tuned.join(base.select("token", F.col("n").alias("b")).hint("merge"), "token", "left").join(tuned.groupBy(key).agg(F.sum("n").alias("_t")).hint("merge"), key)
+    every = base.join(F.broadcast(b_total)).select((F.col("n") / F.col("_b") + eps).alias("q")).agg(F.sum(q0 * F.ln(q0 / F.col("q"))).alias("_rest"))  # one row
+    own = own.join(F.broadcast(b_total)).withColumn("p", F.col("n") / F.col("_t") + eps).withColumn("q", F.coalesce(F.col("b") / F.col("_b"), F.lit(0.0)) + eps)
+    shared = F.when(F.col("b").isNotNull(), q0 * F.ln(q0 / F.col("q"))).otherwise(0.0)
+    per = own.groupBy(key).agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q")) - shared).alias("_s"), F.max("_b").alias("_b"))
+    return per.join(F.broadcast(every)).select(key, F.when(F.col("_b").isNotNull(), F.col("_s") + F.coalesce("_rest", F.lit(0.0))).otherwise(0.0).alias("kl"))
+
+
 def adjacent_distance(df: DataFrame, key: str, order: str, vector: str, span: int = 4096) -> DataFrame:
     """key, n, distance: mean of 1 - dot over all neighbours in `order` (whole numbers) of a key; 0 without any.
 
@@ -68,6 +83,50 @@ def adjacent_distance(df: DataFrame, key: str, order: str, vector: str, span: in
     return across.groupBy(key).agg(n.alias("n"), F.coalesce((F.coalesce(F.sum("_s"), F.lit(0.0)) + F.coalesce(F.sum("_d"), F.lit(0.0))) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("distance"))
 
 
+def nearest(asked: DataFrame, rows: DataFrame, key: str, vector: str, digits: int = 6, block: int = 25_600, chunk: int = 4096) -> DataFrame:
+    """key, nearest, similarity: for each asked vector the other row of the largest cosine (rounded; of equal ones the
+    smallest key). A stated query set against all rows: whole blocks of queries meet whole chunks of rows, so that a
+    pair of blocks is one matrix product and only one row per query and chunk goes on.
+
+    key is a unique whole number; blocks and chunks are ranges of it. Null vectors and those of another length than the
+    query's have similarity 0.5; a query that meets nothing but itself has no row.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    pack = lambda df, span, ids, vectors: df.where(F.col(key).isNotNull()).groupBy(F.floor(F.col(key) / span).alias(f"_{ids}")).agg(F.collect_list(F.struct(key, F.col(vector).cast("array<double>").alias("v"))).alias(vectors)).drop(f"_{ids}")
+    pairs = pack(asked, block, "q", "asked").crossJoin(pack(rows, chunk, "r", "rows"))  # of blocks, not of rows
+
+    def unit(items: list, size: int) -> np.ndarray:
+        out = np.full((len(items), size), np.nan)
+        for i, x in enumerate(items):
+            if x["v"] is not None and len(x["v"]) == size:
+                out[i] = x["v"]
+        return out
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for asked_, rows_ in zip(batch["asked"], batch["rows"]):
+                ids = np.array([x[key] for x in rows_])
+                order = np.argsort(ids)
+                sizes = np.array([-1 if x["v"] is None else len(x["v"]) for x in asked_])
+                for size in np.unique(sizes):
+                    mine = [asked_[i] for i in np.flatnonzero(sizes == size)]
+                    if size < 0:
+                        s = np.full((len(mine), len(ids)), 0.5)
+                    else:
+                        a, b = unit(mine, size), unit(list(rows_), size)
+                        s = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :] + 1e-10)
+                        s = np.where(np.isnan(s), 0.5, s)
+                    own = np.array([x[key] for x in mine])
+                    s = np.round(np.where(own[:, None] == ids[None, :], -np.inf, s), digits)[:, order]
+                    at = s.argmax(axis=1)
+                    top = s[np.arange(len(mine)), at]
+                    keep = np.isfinite(top)
+                    yield pd.DataFrame({key: own[keep], "nearest": ids[order][at[keep]], "similarity": top[keep]})
+
+    got = pairs.mapInPandas(best, f"{key} {kind}, nearest {kind}, similarity double")
+    return got.groupBy(key).agg(F.max_by("nearest", F.struct("similarity", -F.col("nearest"))).alias("nearest"), F.max("similarity").alias("similarity"))
+
+
 def surrealism_index() -> Column:
     return F.col("imagery_density") + F.col("metaphor_density") + F.col("surreal_imagery_score") + F.col("conceptual_distance_score")
 

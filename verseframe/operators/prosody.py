@@ -96,7 +96,7 @@ def couplets(lines: DataFrame, group: str | None = None, require_rhyme: bool = T
     """
     if not require_rhyme and group is None:
         raise ValueError("pairs without rhyme need a group")
-    good = lines.where(F.col("grammar") >= min_grammar).withColumn("_end", F.lower(F.regexp_replace(F.element_at("words", -1), "[^a-zA-Z]", "")))
+    good = lines.where(F.col("grammar") >= min_grammar).withColumn("_end", F.lower(F.regexp_replace(F.try_element_at("words", F.lit(-1)), "[^a-zA-Z]", "")))
     keys = ([group] if group else []) + (["rhyme"] if require_rhyme else [])
     a = good.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("id", "words", "grammar", "vector", "_end")], *([] if require_rhyme else [F.col("rhyme").alias("rhyme1")]))
     b = good.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("id", "words", "grammar", "vector", "_end")], *([] if require_rhyme else [F.col("rhyme").alias("rhyme2")]))
