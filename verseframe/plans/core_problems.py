@@ -31,7 +31,7 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.all_descendants(table(spark, d, "family"))  # the SQL leaves out persons on circles and below them
+    return H.all_descendants(table(spark, d, "family"))
 
 
 def p5_circles(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,11 @@ ORACLE = {
     "p2_report": _ORPHANS + "SELECT source_table, strftime(ref_at, '%Y-%m') AS month, reason, count(*) AS n_references, count(DISTINCT record_no) AS n_records FROM orphans WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": _NODES + "SELECT id, root_id, depth FROM down UNION ALL SELECT id, root_id, -1 FROM ring_name",
     "p5_paths": _NODES + "SELECT id, root_id, depth, path FROM down UNION ALL SELECT id, root_id, -1, NULL FROM ring_name",
-    "p5_descendants": _NODES + ", pairs AS (SELECT string_split(path, '/') AS p, id AS descendant, depth FROM down WHERE depth > 0) SELECT unnest(p[1:depth]) AS ancestor, descendant, unnest(range(depth, 0, -1)) AS distance FROM pairs",
+    "p5_descendants": _NODES + """, pairs AS (SELECT string_split(path, '/') AS p, id AS descendant, depth FROM down WHERE depth > 0),
+up AS (
+  SELECT id AS start, parent AS stop, 1::BIGINT AS distance, [parent] AS seen FROM stuck
+  UNION ALL SELECT u.start, s.parent, u.distance + 1, list_append(u.seen, s.parent) FROM up u JOIN stuck s ON s.id = u.stop WHERE NOT list_contains(u.seen, s.parent))
+SELECT unnest(p[1:depth]) AS ancestor, descendant, unnest(range(depth, 0, -1)) AS distance FROM pairs UNION ALL SELECT stop, start, distance FROM up""",
     "p5_circles": _NODES + "SELECT root_id AS circle, id FROM ring_name SEMI JOIN ring USING (id)",
 }
 

@@ -142,9 +142,8 @@ def people_upsert(spark, d):
     return P.upsert(people, changes)
 
 
-@query(f"SELECT DISTINCT record_no, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(array_to_string(parents, ','), ','), lambda v: {strip('v')}), lambda v: v <> ''))), '|') AS n FROM family WHERE len(list_filter(parents, lambda v: v IS NOT NULL)) <= 1")
+@query(f"SELECT DISTINCT record_no, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(array_to_string(parents, ','), ','), lambda v: {strip('v')}), lambda v: v <> ''))), '|'), '') AS n FROM family")
 def relation_lists(spark, d):
-    # every family row; the SQL above still leaves out rows of two or more parents elements, and of null parents
     rows = table(spark, d, "family").select("record_no", F.array_join("parents", ",").alias("p"))
     return rows.select("record_no", F.array_join(F.array_sort(P.split_list("p")), "|").alias("n")).distinct()
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verseframe.functions import fixed as K, text as T
 from verseframe.operators import prosody as P
-from verseframe.plans.book import Book, quoted, split_words
+from verseframe.plans.book import Book, quoted, split_words, words as words_sql
 from verseframe.sources import table
 
 BOOK = Book()
@@ -76,52 +76,63 @@ def meter_test(spark, d):
     return _stresses(spark).select("stress", P.meter("stress").alias("meter")).where("meter is not null")
 
 
-@query()
+_LW = split_words("line")
+
+
+@query(f"""{_LINES}, w AS (SELECT doc_id, pos::INT AS pos, {_LW} AS w FROM l), s AS (SELECT doc_id, pos, len(w) AS n, list_transform(w, lambda x: CASE WHEN {_syl('x')} = 1 THEN CASE WHEN x IN ({quoted(K.OVERLAP_STOP)}) THEN '0' ELSE '1' END ELSE repeat('10', 8)[1:{_syl('x')}] END) AS st FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, pos, n, i, j, length(array_to_string(st, '')) AS total, CASE WHEN n - i - j > 0 THEN array_to_string(st[i + 1:n - j], '') ELSE '' END AS stress FROM s, range(3) a(i), range(3) b(j)),
+f AS (SELECT *, list_transform([1, 3, 5, 7, 9], lambda k: replace(stress, '2', '1')[k:k + 1]) AS f FROM c WHERE length(stress) = 10)
+SELECT doc_id, pos, i::INT AS drop_start, j::INT AS drop_end, stress FROM f WHERE len(list_filter(f, lambda x: x IN ('01', '10'))) = 5 AND len(list_filter(f, lambda x: x = '10')) <= 2
+AND ((i = 0 AND j = 0 AND total = 10) OR (i > 0 AND j = 0 AND abs(total - 10) <= 2 AND i < n) OR (i = 0 AND j > 0 AND abs(total - 10) <= 2 AND n - j >= 3) OR (i > 0 AND j > 0 AND n > 6 AND n - i - j >= 3))""")
 def meter_trim(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("words", T.split_words("line")).where(F.size("words").between(3, 12))
-    stress = F.transform("words", lambda w: F.when(T.syllables(w) == 1, F.when(w.isin(list(K.OVERLAP_STOP)), "0").otherwise("1")).otherwise(F.substring(F.repeat(F.lit("10"), 8), 1, T.syllables(w))))
-    return lines.select("doc_id", "pos", F.inline(P.metrical_trims(F.col("words"), stress)))
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("words", T.split_words("line")).where(F.size("words") > 0)
+    stress = F.transform("words", lambda w: T.bind(T.syllables(w), lambda n: F.when(n == 1, F.when(w.isin(list(K.OVERLAP_STOP)), "0").otherwise("1")).otherwise(F.substr(F.repeat(F.lit("10"), 8), F.lit(1), n))))
+    return lines.select("doc_id", "pos", F.inline(T.bind(stress, lambda s: P.metrical_trims(F.col("words"), s))))
 
 
-@query()
-def couplet_pairs(spark, d):
-    return _couplets(spark, d).select("doc_id", "id1", "id2", F.round("score", 6).alias("score"))
+def _grams_sql(x: str, n: int) -> str:
+    return f"list_distinct(CASE WHEN len({x}) >= {n} THEN list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n - 1}], ' ')) ELSE [] END)"
 
 
-def _couplets(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("id", "line")).withColumn("words", T.split_words("line")).where(F.size("words").between(4, 10))
-    end = F.lower(F.regexp_replace(F.element_at("words", -1), "[^a-zA-Z]", ""))
-    lines = lines.withColumn("rhyme", F.concat_ws(":", F.col("doc_id").cast("string"), F.regexp_extract(end, "([aeiouy]+[^aeiouy]*e?)$", 1))).where(end != "")
-    lines = lines.select("doc_id", "id", "words", F.lit(90.0).alias("grammar"), "rhyme", F.lit(None).cast("array<double>").alias("vector"))
-    docs = lines.select("rhyme", "doc_id").distinct()
-    return P.couplets(lines.drop("doc_id")).join(docs, "rhyme")
+def _dice_sql(n: int, a: str = "a", b: str = "b") -> str:
+    a, b = _grams_sql(a, n), _grams_sql(b, n)
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
 
 
-@query()
-def best_couplet(spark, d):
-    return P.best_couplet(_couplets(spark, d), "doc_id")
+def _content_sql(x: str) -> str:
+    return f"list_distinct(list_filter(list_transform({x}, lambda w: lower(w)), lambda w: w NOT IN ({quoted(K.OVERLAP_STOP)})))"
 
 
-_LL = f"WITH o AS (SELECT DISTINCT row_id, id, {split_words('poem')} AS w FROM outputs_flat WHERE poem IS NOT NULL), f AS (SELECT id, arg_min(w, row_id) AS a, arg_max(w, row_id) AS b, count(*) AS n FROM o GROUP BY id)"
+_CA, _CB = _content_sql("a"), _content_sql("b")
+_JACCARD = f"CASE WHEN len({_CA}) = 0 OR len({_CB}) = 0 THEN 0 ELSE len(list_intersect({_CA}, {_CB})) / len(list_distinct(list_concat({_CA}, {_CB}))) END"
+_COUPLETS = f"""{_LINES}, w AS (SELECT doc_id, pos::INT AS id, {_LW} AS w FROM l), e AS (SELECT *, lower(regexp_replace(w[-1], '[^a-zA-Z]', '', 'g')) AS tail FROM w WHERE len(w) > 0),
+r AS (SELECT *, regexp_extract(tail, '([aeiouy]+[^aeiouy]*e?)$', 1) AS rhyme FROM e WHERE tail <> ''),
+p AS (SELECT x.doc_id, x.id AS id1, y.id AS id2, x.w AS a, y.w AS b FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.rhyme = y.rhyme AND x.id <> y.id AND x.tail <> y.tail WHERE x.rhyme <> ''),
+j AS (SELECT *, {_JACCARD} AS jaccard FROM p), o AS (SELECT doc_id, id1, id2, jaccard, {_dice_sql(2)} AS o2, {_dice_sql(3)} AS o3, {_dice_sql(4)} AS o4 FROM j WHERE jaccard <= 0.15),
+c AS (SELECT doc_id, id1, id2, 54.0 + 10.0 + 20.0 - (o2 + o3 + o4) / 3 * 50 - jaccard * 100 AS score FROM o WHERE o2 <= 0.5 AND o3 <= 0.3 AND o4 <= 0.2)"""
 
 
-def _grams_sql(x: str, n: int) -> str:
-    return f"list_distinct(CASE WHEN len({x}) >= {n} THEN list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n - 1}], ' ')) ELSE [] END)"
+@query(f"{_COUPLETS} SELECT doc_id, id1, id2, round(score, 6) AS score FROM c")
+def couplet_pairs(spark, d):
+    return _couplets(spark, d).select("doc_id", "id1", "id2", F.round("score", 6).alias("score"))
 
 
-def _dice_sql(n: int) -> str:
-    a, b = _grams_sql("a", n), _grams_sql("b", n)
-    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE 2.0 * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
+def _couplets(spark, d):
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("id", "line")).withColumn("words", T.split_words("line")).where(F.size("words") > 0)
+    end = F.lower(F.regexp_replace(F.try_element_at("words", F.lit(-1)), "[^a-zA-Z]", ""))
+    lines = lines.withColumn("rhyme", F.nullif(F.regexp_extract(end, "([aeiouy]+[^aeiouy]*e?)$", 1), F.lit(""))).where("rhyme is not null")
+    return P.couplets(lines.select("doc_id", "id", "words", F.lit(90.0).alias("grammar"), "rhyme", F.lit(None).cast("array<double>").alias("vector")), group="doc_id")
 
 
-def _content_sql(x: str) -> str:
-    return f"list_distinct(list_filter(list_transform({x}, lambda w: lower(w)), lambda w: w NOT IN ({quoted(K.OVERLAP_STOP)})))"
+@query(f"{_COUPLETS} SELECT doc_id, id1, id2, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, id1, id2) = 1")
+def best_couplet(spark, d):
+    return P.best_couplet(_couplets(spark, d), "doc_id").withColumn("score", F.round("score", 6))
 
 
-_CA, _CB = _content_sql("a"), _content_sql("b")
+_LL = f"WITH o AS (SELECT DISTINCT row_id, id, {split_words('poem')} AS w FROM outputs_flat WHERE poem IS NOT NULL), f AS (SELECT id, arg_min(w, row_id) AS a, arg_max(w, row_id) AS b, count(*) AS n FROM o GROUP BY id)"
 
 
-@query(f"""{_LL} SELECT id, round({_dice_sql(2)}, 6) AS o2, round({_dice_sql(3)}, 6) AS o3, round(CASE WHEN len({_CA}) = 0 OR len({_CB}) = 0 THEN 0 ELSE len(list_intersect({_CA}, {_CB})) / len(list_distinct(list_concat({_CA}, {_CB}))) END, 6) AS jaccard FROM f WHERE n >= 2""")
+@query(f"""{_LL} SELECT id, round({_dice_sql(2)}, 6) AS o2, round({_dice_sql(3)}, 6) AS o3, round({_JACCARD}, 6) AS jaccard FROM f WHERE n >= 2""")
 def ngram_overlap_pairs(spark, d):
     rows = table(spark, d, "outputs_flat").where("poem is not null").select("row_id", "id", T.split_words("poem").alias("w")).distinct()
     f = rows.groupBy("id").agg(F.min_by("w", "row_id").alias("a"), F.max_by("w", "row_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n >= 2")
@@ -129,22 +140,33 @@ def ngram_overlap_pairs(spark, d):
     return f.select("id", *[F.round(T.dice(T.ngrams(a, n), T.ngrams(b, n)), 6).alias(f"o{n}") for n in (2, 3)], F.round(T.content_jaccard(a, b), 6).alias("jaccard"))
 
 
-def _dictionary(spark):
-    rows = [("rain", ["R", "EY1", "N"]), ("lane", ["L", "EY1", "N"]), ("river", ["R", "IH1", "V", "ER0"]), ("giver", ["G", "IH1", "V", "ER0"]), ("fire", ["F", "AY1", "ER0"]), ("fire", ["F", "AY1", "R"]), ("the", ["DH", "AH0"])]
-    return spark.createDataFrame(rows, "word string, phonemes array<string>")
+#: A pronunciation by spelling, for want of a dictionary: vowel letters are stressed where they come first.
+_VOWELS = {"a": "AE", "e": "EH", "i": "IH", "o": "AO", "u": "AH"}
 
 
-@query()
-def rhyme_pairs(spark, d):
-    keyed = _dictionary(spark).select("word", P.rhyme_key(F.col("phonemes")).alias("rhyme")).where("rhyme is not null")
-    a, b = keyed.withColumnRenamed("word", "word1"), keyed.withColumnRenamed("word", "word2")
-    return a.join(b, "rhyme").where("word1 < word2")
+def _dictionary(spark, d):
+    words = table(spark, d, "eval_items").select(F.explode(T.words("text")).alias("word")).select(F.regexp_replace("word", "[^a-z]", "").alias("word")).where("word <> ''").distinct()
+    first = F.regexp_instr("word", F.lit("[aeiou]"))
+    sound = lambda c, i: F.coalesce(*[F.when(c == v, F.concat(F.lit(p), F.when(i == first - 1, "1").otherwise("0"))) for v, p in _VOWELS.items()], F.upper(c))
+    return words.select("word", F.transform(F.split("word", ""), sound).alias("phonemes"))
 
 
-@query()
+_CASES = " ".join(f"WHEN '{v}' THEN '{p}' || CASE WHEN i = k THEN '1' ELSE '0' END" for v, p in _VOWELS.items())
+_DICT = f"""ws AS (SELECT DISTINCT regexp_replace(unnest({words_sql('text')}), '[^a-z]', '', 'g') AS word FROM eval_items), ks AS (SELECT word, length(regexp_extract(word, '^[^aeiou]*')) + 1 AS k FROM ws WHERE word <> ''),
+dict AS (SELECT word, k, list_transform(string_split(word, ''), lambda c, i: CASE c {_CASES} ELSE upper(c) END) AS phonemes FROM ks)"""
+
+
+@query(f"""WITH {_DICT}, r AS (SELECT word, array_to_string(phonemes[k:], ' ') AS rhyme FROM dict WHERE k <= length(word)) SELECT word, rhyme, (count(*) OVER (PARTITION BY rhyme) - 1)::BIGINT AS n_rhymes FROM r""")
+def rhyme_classes(spark, d):
+    keyed = _dictionary(spark, d).select("word", P.rhyme_key(F.col("phonemes")).alias("rhyme")).where("rhyme is not null")
+    return keyed.join(keyed.groupBy("rhyme").agg((F.count(F.lit(1)) - 1).alias("n_rhymes")), "rhyme").select("word", "rhyme", "n_rhymes")
+
+
+@query(f"""WITH {_DICT}, w AS (SELECT DISTINCT unnest({split_words('text')}) AS word FROM documents), b AS (SELECT word, lower(regexp_replace(word, '[^a-zA-Z]', '', 'g')) AS bare FROM w), n AS (SELECT word AS bare, len(list_filter(phonemes, lambda p: regexp_matches(p, '[0-9]$'))) AS n FROM dict)
+SELECT b.word, coalesce(n.n, {_syl('b.word')})::INT AS n_syllables FROM b LEFT JOIN n USING (bare)""")
 def dictionary_syllables(spark, d):
     words = _docs(spark, d).select(F.explode(T.split_words("text")).alias("word")).distinct()
-    return P.dictionary_syllables(words, "word", _dictionary(spark))
+    return P.dictionary_syllables(words, "word", _dictionary(spark, d))
 
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

@@ -138,32 +138,29 @@ def semantic_drift_pairs(spark, d):
     return a.join(b, "pair").select("pair", F.round(s, P).alias("similarity"), F.round(1 - s, P).alias("drift"))
 
 
-@query(f"""WITH l AS (SELECT label, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)
-SELECT label, round(coalesce(avg(1 - {_DOT % ('a', 'b')}) FILTER (a IS NOT NULL), 0), {P}) AS distance FROM l WHERE k <= 128 GROUP BY label""")
+@query(f"""WITH l AS (SELECT label, embedding AS b, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS a FROM embeddings)
+SELECT label, round(coalesce(avg(1 - {_DOT % ('a', 'b')}) FILTER (a IS NOT NULL), 0), {P}) AS distance FROM l GROUP BY label""")
 def adjacent_distance_by_label(spark, d):
-    out = M.adjacent_distance(table(spark, d, "embeddings"), "label", "vec_id", "embedding")  # all neighbours; the SQL takes the first 128 rows
+    out = M.adjacent_distance(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
     return out.select("label", F.round("distance", P).alias("distance"))
 
 
-
 _COS = f"{_DOT % ('a.embedding', 'b.embedding')} / (sqrt({_DOT % ('a.embedding', 'a.embedding')}) * sqrt({_DOT % ('b.embedding', 'b.embedding')}) + 1e-10)"
 
 
-@query(f"""WITH c AS (SELECT a.vec_id, b.vec_id AS other, round({_COS}, {P}) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+@query(f"""WITH c AS (SELECT a.vec_id, b.vec_id AS other, round({_COS}, {P}) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT vec_id, arg_max(other, (s, -other)) AS nearest, max(s) AS similarity FROM c GROUP BY vec_id""")
 def cosine_eps_top1(spark, d):
     e = table(spark, d, "embeddings")
-    q = e.where(F.pmod("vec_id", F.lit(100)) == 0).select("vec_id", "label", F.col("embedding").alias("a"))  # the stated query set of a search
-    pairs = q.join(e.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("b")), "label").where("vec_id <> other")
-    s = F.round(V.cosine_eps("a", "b"), P)
-    return pairs.groupBy("vec_id").agg(F.max_by("other", F.struct(s, -F.col("other"))).alias("nearest"), F.max(s).alias("similarity"))
+    asked = e.where(F.pmod("vec_id", F.lit(100)) == 0)  # the stated query set of a search, against all rows
+    return M.nearest(asked, e, "vec_id", "embedding", digits=P)
 
 
-@query(f"SELECT a.vec_id, round(1 - {_DOT % ('a.embedding', 'b.embedding')}, {P}) AS x, a.label AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0 AND a.label >= 0")
+@query(f"SELECT a.vec_id, round(1 - {_DOT % ('a.embedding', 'b.embedding')}, {P}) AS x, a.label AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0")
 def drift_scatter(spark, d):
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("pair"), F.pmod("vec_id", F.lit(2)).alias("side"), "vec_id", "embedding", "label")
     a, b = e.where("side = 0").select("pair", "vec_id", F.col("embedding").alias("a"), F.col("label").alias("y")), e.where("side = 1").select("pair", F.col("embedding").alias("b"))
-    return a.where("y >= 0").join(b, "pair").select("vec_id", F.round(1 - V.dot("a", "b"), P).alias("x"), "y")
+    return a.join(b, "pair").select("vec_id", F.round(1 - V.dot("a", "b"), P).alias("x"), "y")
 
 
 @query("""WITH m AS (SELECT DISTINCT model, base_model FROM outputs_flat) SELECT model, base_model, CASE WHEN contains(lower(model), 'llama') THEN 'llama' WHEN contains(lower(model), 'qwen') THEN 'qwen' WHEN contains(lower(model), 'gpt2') THEN 'gpt2' ELSE 'generic' END AS family,
@@ -178,10 +175,9 @@ def prompt_removed(spark, d):
     return table(spark, d, "outputs_flat").where("poem is not null").select("row_id", T.remove_prompt("poem", "prompt").alias("body")).distinct()
 
 
-@query(f"SELECT DISTINCT row_id, {strip('split_part(' + strip('poem') + ', chr(10) || chr(10), 1)')} AS reply FROM outputs_flat WHERE poem IS NOT NULL")
+@query(f"SELECT DISTINCT row_id, {strip('regexp_replace(' + strip('split_part(' + strip('poem') + ', ' + repr('User:') + ', 1)') + ', ' + repr('^Assistant:') + ', ' + repr('') + ')')} AS reply FROM outputs_flat WHERE poem IS NOT NULL")
 def reply_trimmed(spark, d):
-    turn = F.concat(F.lit("Assistant: "), F.regexp_replace(T.strip("poem"), r"(?s)\n\n.*\z", ""), F.lit("\nUser: next"))
-    return table(spark, d, "outputs_flat").where("poem is not null").select("row_id", T.trim_reply(turn).alias("reply")).distinct()
+    return table(spark, d, "outputs_flat").where("poem is not null").select("row_id", T.trim_reply("poem").alias("reply")).distinct()
 
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

@@ -35,11 +35,11 @@ def recent_memory_prompt(spark, d):
     return Z.recent_memory(rows, "user_id", "o", "event_type").select("event_id", "memory")
 
 
-@query("SELECT event_type, count(*) AS n, round(count(*) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6, 9) AS rate FROM events GROUP BY event_type HAVING max(ts) > min(ts)")
+@query("WITH e AS (SELECT event_type, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM events GROUP BY event_type HAVING max(ts) > min(ts)) SELECT event_type, n, round(n / s, 9) AS rate, round((3 * n - n) / (n / s), 3) AS eta_seconds FROM e")
 def rate_eta(spark, d):
-    per = _events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).where("b > a").withColumn("total", F.col("n") * 2)
-    rate, _ = Z.progress_rate("n", "a", "b", "total")
-    return per.select("event_type", "n", F.round(rate, 9).alias("rate"))
+    per = _events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).where("b > a").withColumn("total", F.col("n") * 3)
+    rate, eta = Z.progress_rate("n", "a", "b", "total")
+    return per.select("event_type", "n", F.round(rate, 9).alias("rate"), F.round(eta, 3).alias("eta_seconds"))
 
 
 @query("WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS o FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY o) AS seen FROM f GROUP BY user_id")
@@ -59,19 +59,22 @@ def _poems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "outputs_flat").where("poem is not null").select("row_id", "prompt", "poem").distinct()
 
 
-@query("SELECT DISTINCT row_id, trim(poem, ' ' || chr(9) || chr(10) || chr(13)) AS response FROM outputs_flat WHERE poem IS NOT NULL AND NOT regexp_matches(poem, '(?i)<think|</think|thinking process|thought process|chain of thought|internal reasoning|answer\\s*:|response\\s*:|reasoning\\s*:|analysis\\s*:') AND NOT regexp_matches(poem, '(?im)^\\s*(the user|the prompt|i should|i need|i will|we should|we need|let me|first[,:\\s]|second[,:\\s]|third[,:\\s]|\\d+[.)]|[-*])') AND NOT regexp_matches(poem, '(?m)[ \\t\\r]+$|\\n\\s*\\n\\s*\\n') AND trim(poem, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+@query()
 def reasoning_stripped(spark, d):
-    # every poem as it is; the SQL says so only for poems without reasoning marks, list lines and blank runs
     return _poems(spark, d).select("row_id", T.sanitize_output("poem").alias("response")).where("response <> ''")
 
 
 @query()
 def retry_coalesce(spark, d):
-    rows = _poems(spark, d)
-    return rows.select("row_id", T.first_clean(F.concat(F.lit("<think>"), "poem"), "prompt").alias("response"))
+    return _poems(spark, d).select("row_id", T.first_clean("poem", "prompt").alias("response"))
 
 
-@query()
+_MARKDOWN = "text"
+for _pattern, _new in K.MARKDOWN:
+    _MARKDOWN = "regexp_replace(%s, '%s', '%s', 'g')" % (_MARKDOWN, _pattern.replace("'", "''"), _new.replace("$1", "\\1"))
+
+
+@query(f"SELECT doc_id, {_MARKDOWN} AS body FROM documents")
 def markdown_stripped(spark, d):
     return table(spark, d, "documents").select("doc_id", T.strip_markdown("text").alias("body"))
 
@@ -117,9 +120,12 @@ def channel_automaton(spark, d):
     return C.channels(_chunks(spark, d), "row_id", "pos", "token")
 
 
-@query("WITH p AS (SELECT DISTINCT row_id, poem FROM outputs_flat WHERE poem IS NOT NULL) SELECT row_id, (floor((length('<think>thought' || chr(10) || 'plan</think>' || chr(10) || poem) - 1) / 5) + 2)::BIGINT AS n_frames FROM p")
+@query("""WITH e AS (SELECT user_id, list(event_type ORDER BY ts, event_id) FILTER (event_type <> '') AS c FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_append(CASE WHEN len(c) > 0 THEN list_transform(c, lambda t: 'data: {"token":"' || t || '"}' || chr(10) || chr(10)) ELSE ['data: {"error":"empty generation"}' || chr(10) || chr(10)] END, 'data: {"done":true}' || chr(10) || chr(10)) AS f FROM e)
+SELECT user_id, (generate_subscripts(f, 1) - 1)::INT AS frame_no, unnest(f) AS frame FROM f""")
 def sse_frames(spark, d):
-    return C.event_frames(_chunks(spark, d), "row_id", "pos", "token").groupBy("row_id").agg(F.count(F.lit(1)).alias("n_frames"))
+    events = _events(spark, d).select("user_id", F.struct("ts", "event_id").alias("o"), "event_type")
+    return C.event_frames(events, "user_id", "o", "event_type").select("user_id", "frame_no", "frame")
 
 
 @query()

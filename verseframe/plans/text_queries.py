@@ -66,18 +66,13 @@ def lexical_quality_by_source(spark, d):
 
 
 @query(f"""WITH t AS (SELECT lower(lang) AS lang, unnest({W}) AS token FROM documents WHERE lang IS NOT NULL),
-base AS (SELECT token, count(*) AS n FROM t WHERE lang = 'en' GROUP BY 1), lang AS (SELECT lang, token, count(*) AS n FROM t WHERE lang IN ('fr', 'de', 'es') GROUP BY ALL),
+base AS (SELECT token, count(*) AS n FROM t WHERE lang = 'en' GROUP BY 1), lang AS (SELECT lang, token, count(*) AS n FROM t WHERE lang <> 'en' GROUP BY ALL),
 tot AS (SELECT lang, sum(n) AS s FROM lang GROUP BY 1), keys AS (SELECT DISTINCT l.lang, u.token FROM tot l, (SELECT token FROM base UNION SELECT token FROM lang) u),
 used AS (SELECT k.lang, k.token, coalesce(b.n, 0) / (SELECT sum(n) FROM base) + 1e-12 AS q, coalesce(l.n, 0) / t.s + 1e-12 AS p, b.n AS bn, l.n AS ln FROM keys k JOIN tot t USING (lang) LEFT JOIN base b USING (token) LEFT JOIN lang l ON l.lang = k.lang AND l.token = k.token)
 SELECT lang, round(sum(p * ln(p / q)), 4) AS kl FROM used WHERE bn IS NOT NULL OR ln IS NOT NULL GROUP BY lang""")
 def token_shift_by_lang(spark, d):
-    counts = M.token_counts(_docs(spark, d).withColumn("lang", F.lower("lang")), "text", "lang")
-    base = counts.where("lang = 'en'").select("token", "n")
-    out = None
-    for lang in ("fr", "de", "es"):
-        part = M.token_shift(base, counts.where(F.col("lang") == lang).select("token", "n")).select(F.lit(lang).alias("lang"), F.round("kl", 4).alias("kl"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    counts = M.token_counts(_docs(spark, d).where("lang is not null").withColumn("lang", F.lower("lang")), "text", "lang")
+    return M.token_shifts(counts.where("lang = 'en'").select("token", "n"), counts.where("lang <> 'en'"), "lang").select("lang", F.round("kl", 4).alias("kl"))
 
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest({W}) AS token FROM documents) GROUP BY token")
@@ -212,7 +207,16 @@ def repeated_titles_removed(spark, d):
     return C.without_repeated_titles(_docs(spark, d), "doc_id", "text")
 
 
-@query()
+_BODY = f"regexp_replace(regexp_replace(text, '(?is)^.*?{K.START_MARK}[^\n]*\n?', ''), '(?is){K.END_MARK}.*$', '')"
+_PLAIN = f"replace(regexp_replace({_BODY}, '\r\n?', chr(10), 'g'), chr(65279), '')"
+_KEPT = f"list_filter(list_transform(string_split({_PLAIN}, chr(10)), lambda x: regexp_replace(x, '{SPACE}+$', '')), lambda x: NOT {_metadata_sql('x')})"
+_TRIMMED = "regexp_replace(regexp_replace(body, '[ \t]{2,}', ' ', 'g'), '(?m)[ \t]+$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_KEPT} AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM t),
+k AS (SELECT *, {_key_sql('line')} AS key FROM l), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS n FROM k),
+b AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key IS NULL OR n <= 2), '') AS body FROM c GROUP BY doc_id)
+SELECT doc_id, {strip("regexp_replace(" + _TRIMMED + ", '\n{4,}', chr(10) || chr(10) || chr(10), 'g')")} AS body FROM (SELECT t.doc_id, coalesce(body, '') AS body FROM t LEFT JOIN b USING (doc_id))""")
 def cleaned_source(spark, d):
     return C.clean_source(_docs(spark, d).where("text is not null"), "doc_id", "text")
 
@@ -222,13 +226,15 @@ def normalised_text(spark, d):
     return _docs(spark, d).select("doc_id", T.normal_lines("text").alias("body"))
 
 
-_WRAP = "concat('x', chr(10), '*** START OF THIS PROJECT GUTENBERG EBOOK', chr(10), %s, chr(10), '*** END OF THE PROJECT GUTENBERG EBOOK', chr(10), 'y')"
+_MARKED = (("", ""), ("front\n*** START OF THIS PROJECT GUTENBERG EBOOK ***\n", ""), ("", "\n*** end of the project gutenberg ebook\nback"), ("front\n***START OF THE PROJECT GUTENBERG EBOOK", "\n*** END OF THIS PROJECT GUTENBERG EBOOK"))
+_SQL_MARKED = " UNION ALL ".join(f"SELECT doc_id, {k} AS marks, concat({quoted((a,))}, text, {quoted((b,))}) AS t FROM documents WHERE text IS NOT NULL" for k, (a, b) in enumerate(_MARKED))
 
 
-@query("SELECT doc_id, text || chr(10) AS body FROM documents WHERE text IS NOT NULL")
+@query(f"WITH m AS ({_SQL_MARKED}) SELECT doc_id, marks, regexp_replace(regexp_replace(t, '(?is)^.*?{K.START_MARK}[^\n]*\n?', ''), '(?is){K.END_MARK}.*$', '') AS body FROM m")
 def header_stripped(spark, d):
-    wrapped = F.concat(F.lit("x\n*** START OF THIS PROJECT GUTENBERG EBOOK\n"), F.col("text"), F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK\ny"))
-    return _docs(spark, d).where("text is not null").select("doc_id", T.strip_headers(wrapped).alias("body"))
+    forms = F.array(*[F.struct(F.lit(k).alias("marks"), F.concat(F.lit(a), "text", F.lit(b)).alias("t")) for k, (a, b) in enumerate(_MARKED)])
+    rows = _docs(spark, d).where("text is not null").select("doc_id", F.explode(forms).alias("m"))
+    return rows.select("doc_id", "m.marks", T.strip_headers(F.col("m.t")).alias("body"))
 
 
 @query("SELECT doc_id, " + strip("replace(" * 7 + "replace(text, '<|endoftext|>', chr(10) || chr(10))" + "".join(f", '{t}', '')" for t in K.CHAT_TOKENS)) + " AS body FROM documents")
@@ -328,12 +334,14 @@ def distinct_sources(spark, d):
     return _docs(spark, d).select(F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
 
 
-@query()
+@query(f"""WITH t AS (SELECT regexp_extract_all(lower(title), '[a-z]+') AS w FROM documents), p AS (SELECT unnest(w[:-2]) AS word, unnest(w[2:]) AS lemma FROM t WHERE len(w) > 1), lex AS (SELECT unnest([{quoted(K.IMAGERY)}]) AS word)
+SELECT word FROM lex UNION SELECT lemma FROM p SEMI JOIN lex USING (word)""")
 def lexicon_expansion(spark, d):
-    synonyms = spark.createDataFrame([("mist", "haze"), ("mist", "fog"), ("river", "stream"), ("river", "water course"), ("moon", "lunation")], "word string, lemma string")
-    lexicon = spark.createDataFrame([(w,) for w in K.IMAGERY], "word string")
-    more = lexicon.join(synonyms, "word").where(F.col("lemma").rlike("^[a-z]+$")).select(F.col("lemma").alias("word"))
-    return lexicon.unionByName(more).distinct()
+    # words that follow one another in titles stand in for a table of synonyms
+    w = F.regexp_extract_all(F.lower("title"), F.lit("[a-z]+"), F.lit(0))
+    rest = F.slice("w", 2, F.greatest(F.size("w"), F.lit(1)))
+    synonyms = _docs(spark, d).select(w.alias("w")).where("size(w) > 1").select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("word"), rest.alias("lemma"))))
+    return C.expand_lexicon(spark.createDataFrame([(w,) for w in K.IMAGERY], "word string"), synonyms)
 
 
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle
