@@ -61,18 +61,20 @@ class ItemIndex:
         self.piece, self.at = piece[order], self.at[order]
         self.item_of = np.repeat(np.arange(len(codes)), self.lengths)
 
-    def hits(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (in the document, in the joined items) of every piece they share."""
+    def places(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in the document of every piece it shares with the items, and where the piece's own positions lie."""
         if len(doc) < PIECE or not len(self.piece):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b, c = doc[:-2], doc[1:-1], doc[2:]
-        pos = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        code = _mix(a[pos], b[pos], c[pos])
-        lo, hi = np.searchsorted(self.piece, code, "left"), np.searchsorted(self.piece, code, "right")
-        n = hi - lo
-        pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
-        if not len(pos):
-            return pos, pos
+            return (np.zeros(0, np.int64),) * 3
+        known = doc >= 0
+        pos = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
+        code = _mix(doc[pos], doc[pos + 1], doc[pos + 2])
+        lo = np.searchsorted(self.piece, code, "left")
+        hit = self.piece[np.minimum(lo, len(self.piece) - 1)] == code
+        pos, lo, code = pos[hit], lo[hit], code[hit]
+        return pos, lo, np.searchsorted(self.piece, code, "right") - lo
+
+    def expand(self, pos: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions (in the document, in the joined items) of every pair of equal pieces."""
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(pos, n), self.at[np.repeat(lo, n) + offset]
 
@@ -85,18 +87,21 @@ def myers(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
     n, m = patterns.shape
     one = np.uint64(1)
     high = np.uint64(1 << (m - 1))
-    pv, mv = np.full(n, (1 << m) - 1, np.uint64), np.zeros(n, np.uint64)
+    mask = np.uint64((1 << m) - 1)
+    patterns, columns = patterns.astype(np.int32), np.ascontiguousarray(texts.T.astype(np.int32))
+    pv, mv = np.full(n, mask, np.uint64), np.zeros(n, np.uint64)
     score = np.full(n, m, np.int64)
     best = score.copy()
-    bits = (one << np.arange(m, dtype=np.uint64))[None, :]
-    mask = np.uint64((1 << m) - 1)
-    for j in range(texts.shape[1]):
-        eq = np.where(patterns == texts[:, j : j + 1], bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
+    eq = np.zeros((n, 8), np.uint8)
+    for column in columns:
+        bits = np.packbits(patterns == column[:, None], axis=1, bitorder="little")
+        eq[:, : bits.shape[1]] = bits
+        pm = eq.view(np.uint64)[:, 0]
+        xv = pm | mv
+        xh = (((pm & pv) + pv) ^ pv) | pm
         ph = mv | ~(xh | pv)
         mh = pv & xh
-        score = score + ((ph & high) > 0) - ((mh & high) > 0)
+        score += ((ph & high) > 0).astype(np.int64) - ((mh & high) > 0)
         ph, mh = ph << one, mh << one
         pv = (mh | ~(xv | ph)) & mask
         mv = ph & xv & mask
@@ -104,36 +109,58 @@ def myers(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return best
 
 
-def leaked_pairs(index: ItemIndex, docs: list[np.ndarray], max_errors: int = MAX_ERRORS, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(position in docs, row number of the item) of every document that repeats a passage of an item."""
+#: Hits looked at together; text with more is halved, down to stretches of SHORT words.
+HITS, SHORT = 4_000_000, 200
+
+
+def leaked_pairs(index: ItemIndex, docs: list[np.ndarray], max_errors: int = MAX_ERRORS, min_words: int = MIN_WORDS, most: int = HITS) -> list[tuple[int, int]]:
+    """(position in docs, row number of the item) of every document that repeats a passage of an item.
+
+    Memory is bounded whatever phrases the items share: a batch of too many hits is halved, and so is a single text,
+    with an overlap as long as a window and its errors.
+    """
     bounds = np.concatenate([[0], np.cumsum([len(d) + 1 for d in docs])]).astype(np.int64)
     joined = np.full(bounds[-1], -3, np.int64)
     for d, start in zip(docs, bounds):
         joined[start : start + len(d)] = d
-    p, q = index.hits(joined)
+    pos, lo, n = index.places(joined)
+    if n.sum() > most:
+        half = len(docs) // 2
+        if half:
+            parts = [(0, docs[:half]), (half, docs[half:])]
+        else:
+            half = len(docs[0]) // 2
+            parts = [(0, [docs[0][: half + min_words + 4 * max_errors]]), (0, [docs[0][half:]])] if len(docs[0]) > max(SHORT, 4 * (min_words + 4 * max_errors)) else []
+        if parts:
+            return sorted({(at + d, i) for at, part in parts for d, i in leaked_pairs(index, part, max_errors, min_words, most)})
+    p, q = index.expand(pos, lo, n)
     pair = (np.searchsorted(bounds, p, "right") - 1) * len(index.ids) + index.item_of[q] if len(p) else p
     found = np.zeros(0, np.int64)
+    widest = _near(pair, p, q, max_errors, min_words + 2 * max_errors, min_words - 2 - max_errors)
+    p, q, pair = p[widest], q[widest], pair[widest]  # what is near for fewer errors is near for most
     for k in range(max_errors + 1):
         m, need = min_words + 2 * k, min_words - 2 - k
-        use = ~np.isin(pair, found)
-        p, q, pair = p[use], q[use], pair[use]
-        near = _near(pair, p, q, k, m, need)
-        if len(near):
-            found = np.union1d(found, _verified(index, joined, pair[near], p[near], q[near], k, m))
+        use = _near(pair, p, q, k, m, need)
+        use = use[~np.isin(pair[use], found)]
+        if len(use):
+            found = np.union1d(found, _verified(index, joined, pair[use], p[use], q[use], k, m))
     return [(int(x // len(index.ids)), int(x % len(index.ids))) for x in found]
 
 
 def _near(pair: np.ndarray, p: np.ndarray, q: np.ndarray, k: int, m: int, need: int) -> np.ndarray:
-    """The hits that have `need` hits of their pair on k + 1 neighbouring diagonals and within m item words."""
+    """The hits that have `need` hits of their pair on k + 1 neighbouring diagonals and within m item words, the latter
+    up to k more: hits come in order of p, so that one stable sort by pair and band is enough."""
     if len(p) < need:
         return np.zeros(0, np.int64)
     keep = np.zeros(len(p), bool)
-    band = (p - q) // (k + 1)
+    diagonal = p - q
+    band = (diagonal - diagonal.min()) // (k + 1)
+    span = int(band.max()) // 2 + 2
     for shift in (0, 1):  # k + 1 neighbouring diagonals lie in two neighbouring bands
-        order = np.lexsort((q, (band + shift) // 2, pair))
-        a, b, c = pair[order], ((band + shift) // 2)[order], q[order]
-        last = np.arange(len(p) - need + 1)
-        ok = np.flatnonzero((a[last] == a[last + need - 1]) & (b[last] == b[last + need - 1]) & (c[last + need - 1] - c[last] <= m - PIECE))
+        code = pair * span + (band + shift) // 2
+        order = np.argsort(code, kind="stable")
+        c, at = code[order], p[order]
+        ok = np.flatnonzero((c[: len(c) - need + 1] == c[need - 1 :]) & (at[need - 1 :] - at[: len(c) - need + 1] <= m - PIECE + k))
         for j in range(need):
             keep[order[ok + j]] = True
     return np.flatnonzero(keep)
