@@ -5,8 +5,9 @@ model of fixed size backs off for unseen words. Words that a UTF-8 channel could
 
 Channel model: a channel is a pair (encoding the text was in, encoding it was read with). For a word it builds the
 lattice of bytes behind the characters and reads it again: UTF-8 sequences where they are valid, other characters
-as they stand; a byte lost as U+FFFD is a wildcard, filled by the clean corpus words that agree with every character
-left and by a Viterbi search over the characters of the corpus under the trigram model, whichever is likelier. Each
+as they stand; a byte lost as U+FFFD is a wildcard in this lattice, in any number and at any place of a sequence, and
+the likeliest ways through it are found by a Viterbi search under the trigram model. A character lost as a whole is
+filled by the clean corpus words that agree with every character left, or by a search over the corpus alphabet. Each
 different word is decoded once, however often it occurs, and its candidates get their corpus frequencies by a join.
 
 Search: per document a Viterbi search over its words, whose states are the channels; entering a channel costs
@@ -27,11 +28,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from verseframe.operators.skew import HOT_ROWS, salted_lookup
 from verseframe.operators.spread import spread
+from verseframe.session import cut_lineage
 
 #: A word with a character outside ASCII, with the ASCII letters it is joined to.
-WORD = r"[A-Za-z]*(?:[^\x00-\x7F]+[A-Za-z]*)+"
+#: It starts at the first letter of its run and takes all of it, so that no place of a text is looked at twice.
+WORD = r"(?<![A-Za-z])[A-Za-z]*+(?:[^\x00-\x7F]++[A-Za-z]*+)++"
 LOST = "�"
 ENTER = 5.0
+#: Log-odds that a text with U+FFFD has lost a character, rather than always having had it.
+LOST_GAIN = 20.0
 #: Taken from the score of a reading of a capital word that ends in one accented letter and a mark, which may be just that.
 DOUBT = 6.0
 #: UTF-8 text read with each of these.
@@ -95,23 +100,60 @@ def read_again_as_utf8(word: str, codec: str) -> str:
     return word if strays or (read != word and _MIXED.search(read)) else read
 
 
-def _fill_utf8(word: str, codec: str) -> list[str]:
-    """Readings of a word of which one byte of a UTF-8 sequence is lost, the byte being a wildcard."""
-    if word.count(LOST) != 1:
-        return []
-    at, found = word.index(LOST), set()
-    table = _bytes_of(codec)
-    for b in range(0x80, 0xC0):
-        codes = [b if k == at else table.get(ch, -1) for k, ch in enumerate(word)]
-        for i in range(max(0, at - 3), at):
-            n = _need(codes[i])
-            if n and i < at <= i + n < len(word) and all(0x80 <= c < 0xC0 for c in codes[i + 1 : i + 1 + n]):
-                try:
-                    got = bytes(codes[i : i + 1 + n]).decode("utf-8")
-                except UnicodeDecodeError:
-                    continue
-                found.add(read_again_as_utf8(word[:i], codec) + got + read_again_as_utf8(word[i + n + 1 :], codec))
-    return sorted(found)
+@cache
+def _lost_bytes(codec: str) -> tuple[int, ...]:
+    """The bytes that reading with a codec may lose: those it does not define, else any upper byte."""
+    return tuple(b for b in range(128, 256) if not _defined(b, codec)) or tuple(range(128, 256))
+
+
+def _defined(b: int, codec: str) -> bool:
+    try:
+        return bytes([b]).decode(codec) != ""
+    except UnicodeDecodeError:
+        return False
+
+
+def lattice_readings(word: str, codec: str, model: CharModel, width: int = 64, most: int = 16) -> list[str]:
+    """Readings of a word with lost characters as UTF-8 that was read with the codec: the `most` likeliest.
+
+    The lattice has the byte behind every character, and at a lost one every byte that may be lost there, be it the
+    first of a sequence or a later one, in any number. A Viterbi search over places, unfinished sequences and the last
+    two characters weighs the decoded characters by the trigram model; the best `width` states of a place are followed.
+    Other characters of the codec must be part of a sequence, but for punctuation; a lost character may stay alone.
+    """
+    table, lost = _bytes_of(codec), sorted({*_lost_bytes(codec), *range(0x80, 0xC0)})
+    states: dict[tuple[str, bytes], tuple[float, str, bool]] = {("\x02\x02", b""): (0.0, "", False)}
+    for ch in f"{word}\x03":
+        found: dict[tuple[str, bytes], tuple[float, str, bool]] = {}
+
+        def reach(last: str, part: bytes, score: float, path: str, joined: bool) -> None:
+            key = (last, part)
+            if key not in found or score > found[key][0]:
+                found[key] = (score, path, joined)
+
+        byte = table.get(ch, -1)
+        options = lost if ch == LOST else (byte,) if byte >= 0 else ()
+        for (last, part), (score, path, joined) in states.items():
+            if not part and (byte < 0 or ch in _PUNCTUATION):  # as it stands
+                reach(last[1] + ch, b"", score + (-12.0 if ch == LOST else model.logp(last + ch)), path + ch, joined)
+            for b in options:
+                if not part:
+                    if _need(b):
+                        reach(last, bytes([b]), score, path, joined)
+                elif 0x80 <= b < 0xC0:
+                    more = part + bytes([b])
+                    if len(more) <= _need(part[0]):
+                        reach(last, more, score, path, joined)
+                        continue
+                    try:
+                        got = more.decode("utf-8")
+                    except UnicodeDecodeError:
+                        continue
+                    if not 0xE000 <= ord(got) < 0xF900 and not 0x80 <= ord(got) < 0xA0:
+                        reach(last[1] + got, b"", score + model.logp(last + got), path + got, True)
+        states = dict(sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:width])
+    done = sorted(((s, p) for (_, part), (s, p, joined) in states.items() if joined and not part), reverse=True)
+    return [p for p in dict.fromkeys(p[:-1] for _, p in done) if not _MIXED.search(p)][:most]
 
 
 def read_again(word: str, true: str, wrong: str) -> str | None:
@@ -129,13 +171,13 @@ def read_again(word: str, true: str, wrong: str) -> str | None:
     return got if got.isprintable() or "\xa0" in got else None
 
 
-def candidates(word: str) -> dict[int, list[str]]:
+def candidates(word: str, model: CharModel) -> dict[int, list[str]]:
     """Channel number -> readings of the word that differ from it."""
     out: dict[int, list[str]] = {}
     if LOST in word:
         for k, codec in enumerate(READ_UTF8_AS):
-            if got := _fill_utf8(word, codec):
-                out[1 + k] = got
+            if got := lattice_readings(word, codec, model):
+                out[1 + k] = [model.fill(r) if LOST in r else r for r in got]
         return out
     n = len(READ_UTF8_AS)
     for k, codec in enumerate(READ_UTF8_AS):
@@ -265,7 +307,7 @@ def clean_words(counts: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch[[_looks_clean(w) for w in batch["word"]]]
 
-    return spread(counts.select("word", "n")).mapInPandas(keep, "word string, n long")
+    return counts.select("word", "n").mapInPandas(keep, "word string, n long")
 
 
 def fitting_words(counts: DataFrame, clean: DataFrame) -> DataFrame:
@@ -299,7 +341,7 @@ def channel_gains(counts: DataFrame, model: CharModel, min_rows: int = HOT_ROWS)
             for word, n in zip(batch["word"], batch["n"]):
                 own = m.score(word)
                 clean = _looks_clean(word)
-                for channel, readings in candidates(word).items():
+                for channel, readings in candidates(word, m).items():
                     doubt = DOUBT if _CAPITAL_MARK.fullmatch(word) else 0.0
                     rows += [(word, float(n) if clean else 0.0, own, channel, r, m.score(r) - doubt) for r in readings]
                 if LOST in word:
@@ -307,8 +349,8 @@ def channel_gains(counts: DataFrame, model: CharModel, min_rows: int = HOT_ROWS)
                     rows.append((word, 0.0, own, len(CHANNELS) - 1, filled, m.score(filled)))
             yield pd.DataFrame(rows, columns=["word", "n", "own", "channel", "reading", "model"])
 
-    rows = spread(counts).mapInPandas(decode, "word string, n double, own double, channel int, reading string, model double")
-    clean = clean_words(counts).persist()
+    rows = counts.mapInPandas(decode, "word string, n double, own double, channel int, reading string, model double")
+    clean = cut_lineage(clean_words(counts))
     known = clean.select(F.col("word").alias("reading"), F.col("n").alias("reading_n"))
     scored = salted_lookup(rows, known, "reading", min_rows=min_rows)
 
@@ -326,7 +368,7 @@ def channel_gains(counts: DataFrame, model: CharModel, min_rows: int = HOT_ROWS)
     gain = F.when(F.col("channel") == len(CHANNELS) - 1, reads).otherwise(reads - logp(F.col("n"), F.col("own")))
     both = scored.select("word", "n", "own", "channel", "reading", "model", "reading_n").unionByName(fits).withColumn("gain", gain)
     best = both.groupBy("word", "channel").agg(F.max_by(F.struct("reading", "gain"), F.struct("gain", "reading")).alias("b"))
-    return best.select("word", "channel", "b.reading", F.when(F.col("channel") == len(CHANNELS) - 1, 20.0).otherwise(F.col("b.gain")).alias("gain"))
+    return best.select("word", "channel", "b.reading", F.when(F.col("channel") == len(CHANNELS) - 1, LOST_GAIN).otherwise(F.col("b.gain")).alias("gain"))
 
 
 def best_path(words: list[list[tuple[int, str, float]]], enter: float = ENTER) -> list[tuple[int, str] | None]:
@@ -372,7 +414,7 @@ def garbled(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", en
     """
     docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and length(text) > 0"))
     outside = docs.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    counts = word_counts(outside).persist()
+    counts = spread(cut_lineage(word_counts(outside)))
     gains = channel_gains(counts, char_model(counts), min_rows)
     useful = gains.where(F.col("gain") > 0.5).groupBy("word").agg(F.sort_array(F.collect_list(F.struct("channel", "reading", "gain"))).alias("options"))
     placed = outside.select("doc_id", F.posexplode(_words(F.col("text"))).alias("pos", "word"))
