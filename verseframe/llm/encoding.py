@@ -231,6 +231,23 @@ class CharModel:
                 self.memo[gram] = got
         return got
 
+    def logps(self, grams: list[str]) -> np.ndarray:
+        """logp of many trigrams at once."""
+        if len(grams) < 32:
+            return np.array([self.logp(g) for g in grams])
+        c = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, 3).astype(np.uint64)
+
+        def look(k: int, lo: int, hi: int) -> np.ndarray:
+            value = np.full(len(c), 2166136261, np.uint64)
+            for i in range(lo, hi):
+                value = ((value ^ c[:, i]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+            return self.counts[k][((value ^ (value >> np.uint64(15))) % np.uint64(_BUCKETS[k])).astype(np.int64)]
+
+        one, two, three, before, pair = look(0, 2, 3), look(1, 1, 3), look(2, 0, 3), look(0, 1, 2), look(1, 0, 2)
+        p1 = (one + 0.01) / (self.total + 1000)
+        p2 = (two + 2 * p1) / (np.maximum(before, two) + 2)
+        return np.log((three + 2 * p2) / (np.maximum(pair, three) + 2))
+
     def score(self, word: str) -> float:
         padded = f"\x02\x02{word}\x03"
         return sum(self.logp(padded[i - 2 : i + 1]) for i in range(2, len(padded)))
@@ -243,12 +260,11 @@ class CharModel:
             run = run + 1 if ch == LOST else 0
             options = self.alphabet if ch == LOST else (ch,)
             best: dict[str, tuple[float, str]] = {}
-            for s, path in beam:
-                for c in options:
-                    t = s + self.logp(path[-2:] + c)
-                    key = path[-1] + c
-                    if key not in best or t > best[key][0]:
-                        best[key] = (t, path + c)
+            steps = [(s, path, c) for s, path in beam for c in options]
+            for (s, path, c), more in zip(steps, self.logps([path[-2:] + c for _, path, c in steps]).tolist()):
+                key = path[-1] + c
+                if key not in best or s + more > best[key][0]:
+                    best[key] = (s + more, path + c)
             beam = sorted(best.values(), reverse=True)[: width if run > 1 else None]
         return beam[0][1][2:-1]
 
