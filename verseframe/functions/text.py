@@ -221,6 +221,17 @@ def remove_prompt(text: Column | str, prompt: Column | str) -> Column:
     return F.when(p.isNull() | (p == "") | (at == 0), t).otherwise(F.substr(t, at + F.length(p)))
 
 
+def strip_prompt_prefix(text: Column | str, prompt: Column | str) -> Column:
+    """The text without the prompt at its start, stripped; as it is where it starts otherwise."""
+    t, p = _col(text), _col(prompt)
+    return F.when(F.coalesce(p, F.lit("")) == "", t).when(F.startswith(t, p), strip(F.substr(t, F.length(p) + 1))).otherwise(t)
+
+
+def erase_prompt(text: Column | str, prompt: Column | str) -> Column:
+    """The text without any occurrence of the prompt."""
+    return F.when(F.coalesce(_col(prompt), F.lit("")) == "", _col(text)).otherwise(F.replace(_col(text), _col(prompt), F.lit("")))
+
+
 def is_substantial(c: Column | str) -> Column:
     """Enough words, characters and words that are no fillers to count as speech."""
     s = F.trim(_col(c))
@@ -233,6 +244,11 @@ def preview(c: Column | str, n: int = 1200) -> Column:
     return F.when(F.length(_col(c)) <= n, _col(c)).otherwise(F.concat(F.rtrim(F.substring(_col(c), 1, n)), F.lit("\n...")))
 
 
+def short_label(c: Column | str, n: int = 60) -> Column:
+    """The first n characters, with "..." where more were there."""
+    return F.when(F.length(_col(c)) <= n, _col(c)).otherwise(F.concat(F.substring(_col(c), 1, n), F.lit("...")))
+
+
 def preview_lines(c: Column | str, n: int = 14) -> Column:
     lines = F.split(_col(c), "\n")
     return F.when(F.size(lines) <= n, _col(c)).otherwise(F.concat(F.array_join(F.slice(lines, 1, n), "\n"), F.lit("\n  … ("), (F.size(lines) - n).cast("string"), F.lit(" more lines)")))
@@ -334,6 +350,11 @@ def compatible_base(a: Column | str, b: Column | str) -> Column:
     return (x == "") | (y == "") | (x == y) | (F.element_at(F.split(x, "/"), -1) == F.element_at(F.split(y, "/"), -1))
 
 
+def run_label(at: Column | str) -> Column:
+    """A time as the label of a run, to the second."""
+    return F.date_format(_col(at), "yyyyMMdd_HHmmss")
+
+
 def parse_length_command(c: Column | str) -> Column:
     """n of "/length n" within 10..1000, else null."""
     n = F.expr("try_cast(regexp_extract({}, '^/length\\\\s+(\\\\S+)\\\\s*$', 1) AS INT)".format(c)) if isinstance(c, str) else F.try_to_number(F.regexp_extract(c, r"^/length\s+(\S+)\s*$", 1), F.lit("9999")).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -102,6 +103,31 @@ def fixed_blocks(tokens: Column, block: int) -> Column:
     return T.bind(tokens, of)
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?;:])(?=\s)")
+
+
+def split_unit(unit: str, hard: int, size_of: Callable[[str], int]) -> list[str]:
+    """The unit in parts of at most `hard` tokens: runs of whole sentences, of a longer sentence runs of lines, of a
+    longer line runs of words; only a single word over the limit stays over it."""
+
+    def runs(parts: list[str], cut: Callable[[str], list[str]] | None) -> list[str]:
+        out, held = [], ""
+        for part in parts:
+            if held and size_of(held + part) > hard:
+                out.append(held)
+                held = ""
+            if not held and cut and size_of(part) > hard:
+                out += cut(part)
+            else:
+                held += part
+        return out + [held]
+
+    words = lambda line: runs(re.findall(r"\s*\S+\s*?(?=\s|$)|\s+$", line), None)
+    lines = lambda sentence: runs(sentence.splitlines(keepends=True), words)
+    found = [unit] if size_of(unit) <= hard else runs(_SENTENCE_END.split(unit), lines)
+    return [x.strip() for x in found if x.strip()]
+
+
 def pack_units(units: list[str], sizes: list[int], target: int, most: int, hard: int, overlap: float, size_of: Callable[[str], int]) -> list[str]:
     """Consecutive units in chunks of about `target` tokens, never over `most` unless one unit is; a chunk starts
     with the last units of the one before, up to `overlap` of its size, and always at least one unit further."""
@@ -112,7 +138,7 @@ def pack_units(units: list[str], sizes: list[int], target: int, most: int, hard:
             total += sizes[end]
             end += 1
         chunk = "\n\n".join(units[start:end]).strip()
-        out += [chunk] if size_of(chunk) <= hard else [u for u in units[start:end]]
+        out += [chunk] if size_of(chunk) <= hard else split_unit(chunk, hard, size_of)
         if end >= len(units):
             break
         budget, back, taken = int(size_of(chunk) * overlap), end, 0
@@ -124,7 +150,8 @@ def pack_units(units: list[str], sizes: list[int], target: int, most: int, hard:
 
 
 def packed_chunks(df: DataFrame, key: str, text: str, target: int = K.CHUNK_TARGET, most: int = K.CHUNK_MAX, hard: int = K.CHUNK_HARD, overlap: float = K.CHUNK_OVERLAP, size_of: Callable[[str], int] | None = None) -> DataFrame:
-    """key, chunk_no, chunk, n_tokens of every text, its paragraphs packed in order. size_of counts tokens (words by default).
+    """key, chunk_no, chunk, n_tokens of every text, its paragraphs packed in order; a paragraph over the hard limit is
+    split first. size_of counts tokens (words by default), such as token_counter of a tokenizer file.
 
     A fold over one text: each row is chunked where it lies, without a shuffle. Null and blank texts give no chunks.
     """
@@ -136,7 +163,7 @@ def packed_chunks(df: DataFrame, key: str, text: str, target: int = K.CHUNK_TARG
         for b in batches:
             out = []
             for k, units in zip(b[key], b["units"]):
-                units = list(units)
+                units = [part for u in units for part in split_unit(u, hard, count)]
                 for i, c in enumerate(pack_units(units, [count(u) for u in units], target, most, hard, overlap, count)):
                     out.append((k, i, c, count(c)))
             yield pd.DataFrame(out, columns=[key, "chunk_no", "chunk", "n_tokens"])
@@ -144,6 +171,60 @@ def packed_chunks(df: DataFrame, key: str, text: str, target: int = K.CHUNK_TARG
     return rows.mapInPandas(run, f"{key} {kind}, chunk_no int, chunk string, n_tokens int")
 
 
+def token_counter(path: str) -> Callable[[str], int]:
+    """size_of for packed_chunks from a tokenizers JSON file, loaded once in each worker."""
+    loaded: list = []
+
+    def count(text: str) -> int:
+        if not loaded:
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(path))
+        return len(loaded[0].encode(text, add_special_tokens=False))
+
+    return count
+
+
+def prepared_samples(df: DataFrame, key: str, text: str, fragments: tuple[str, ...] = (), prefix_rate: float = 0.15, begin: str = "", seed: int = 42, size_of: Callable[[str], int] | None = None, **budgets) -> DataFrame:
+    """key, chunk_no, n_tokens, text: the whole preparation of a corpus: sources cleaned, packed into chunks, a share of
+    them opened by one of the fragments, and each led by the token `begin`. budgets: those of packed_chunks."""
+    from verseframe.operators.sampling import bernoulli_prefix
+
+    chunks = packed_chunks(clean_source(df.where(F.col(text).isNotNull()), key, text), key, "body", size_of=size_of, **budgets)
+    body = bernoulli_prefix("chunk", F.array(*[F.lit(f) for f in fragments]), F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_no").cast("string")), prefix_rate, seed) if fragments else F.col("chunk")
+    return chunks.select(key, "chunk_no", "n_tokens", F.concat(F.lit(begin), body).alias("text"))
+
+
+def batched_map(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, batch_size: int = 1000) -> DataFrame:
+    """The rows that `function` makes of batches of at most batch_size rows, given and returned as lists by column."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), batch_size):
+                yield pd.DataFrame(function({c: v.tolist() for c, v in b.iloc[lo : lo + batch_size].items()}))
+
+    return df.mapInPandas(run, schema)
+
+
+def embedded(df: DataFrame, column: str, make_encoder: Callable[[], object], out: str = "embedding", batch_size: int = 64) -> DataFrame:
+    """df with the normalised vectors of a text column. make_encoder gives any object with
+    encode(list of texts, normalize_embeddings=True); it is made once in each task, and a text once in each batch. Null
+    texts get null."""
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in df.schema.fields)}, {out} array<float>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = make_encoder()
+        for b in batches:
+            texts = list(dict.fromkeys(t for t in b[column] if t is not None))
+            vectors: dict[str, list[float]] = {}
+            for lo in range(0, len(texts), batch_size):
+                part = texts[lo : lo + batch_size]
+                vectors.update(zip(part, ([float(x) for x in v] for v in encoder.encode(part, normalize_embeddings=True))))
+            yield b.assign(**{out: [vectors.get(t) for t in b[column]]})
+
+    return df.mapInPandas(run, schema)
+
+
 def reflective_fragments(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, fragment: openings of lines that begin in the first person or with a question word, first of each kept."""
     rows = lines(df, key, text).select(key, "pos", F.trim(F.regexp_replace("line", T.SPACE + "+", " ")).alias("line"))

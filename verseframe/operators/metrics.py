@@ -128,6 +128,7 @@ def nearest(asked: DataFrame, rows: DataFrame, key: str, vector: str, digits: in
 
 
 def surrealism_index() -> Column:
+    """Of the four scores by their names."""
     return F.col("imagery_density") + F.col("metaphor_density") + F.col("surreal_imagery_score") + F.col("conceptual_distance_score")
 
 
@@ -156,7 +157,7 @@ def gaussian_kde(df: DataFrame, value: str, group: str, points: int = 21) -> Dat
     edge = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     band = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_s"))
     band = band.withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).where("_h > 0")
-    rows = df.where(F.col(value).isNotNull()).select(group, value).join(band, group).join(F.broadcast(edge))
+    rows = salted_lookup(df.where(F.col(value).isNotNull()).select(group, value), band, group, "inner").join(F.broadcast(edge))
     at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points - 1))
     rows = rows.select(group, value, "_h", F.posexplode(at).alias("_i", "x"))
     u = (F.col("x") - F.col(value)) / F.col("_h")

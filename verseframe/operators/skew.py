@@ -13,8 +13,8 @@ SALTS = 64
 
 def hot_keys(df: DataFrame, key: str, max_keys: int = HOT_KEYS, min_rows: int = HOT_ROWS) -> list:
     """The up to max_keys most frequent non-null keys with more than min_rows rows, counted with map-side combine."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
-    return [r[0] for r in counts.orderBy(F.desc("_n"), key).limit(max_keys).collect()]
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > min_rows)
+    return [r[0] for r in counts.orderBy(F.desc("__rows"), key).limit(max_keys).collect()]
 
 
 def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = SALTS, min_rows: int = HOT_ROWS, hot: list | None = None) -> DataFrame:
@@ -27,6 +27,6 @@ def salted_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left"
     if not hot:
         return left.join(right.hint("merge"), key, how)
     is_hot = F.col(key).isin(hot)
-    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-    spread = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(spread.hint("merge"), [key, "_salt"], how).drop("_salt")
+    salted = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    spread = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(spread.hint("merge"), [key, "__salt"], how).drop("__salt")

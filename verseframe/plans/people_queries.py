@@ -104,6 +104,24 @@ def visible_roots(spark, d):
     return P.visible_roots(people, _links(people))
 
 
+@query(_CUR + """, r AS (SELECT id, (coalesce(birthYear, 2147483647), lower(name), id) AS o FROM cur WHERE id NOT IN (SELECT child FROM e)), c AS (SELECT * FROM sp WHERE person <> partner),
+shown AS (SELECT DISTINCT r.id FROM r LEFT JOIN c ON c.person = r.id LEFT JOIN r q ON q.id = c.partner WHERE (q.id IS NULL OR r.o < q.o) AND (c.partner IS NULL OR c.partner NOT IN (SELECT child FROM e))),
+kids AS (SELECT parent AS a, child FROM e UNION SELECT person, child FROM c JOIN e ON parent = partner),
+ways AS (SELECT shown.id AS root, shown.id AS id, c.partner AS spouse, 0 AS depth, shown.id::VARCHAR AS path, [shown.id, c.partner] AS seen FROM shown LEFT JOIN c ON c.person = shown.id
+UNION ALL SELECT w.root, k.child, c.partner, w.depth + 1, w.path || '/' || k.child, list_concat(w.seen, [k.child, c.partner]) FROM ways w JOIN kids k ON k.a = w.id LEFT JOIN c ON c.person = k.child WHERE NOT list_contains(w.seen, k.child))
+SELECT root, id, spouse, depth::INT AS depth, path FROM ways""")
+def couple_lines(spark, d):
+    people = _people(spark, d)
+    return P.couple_forest(people, _links(people))
+
+
+@query(_CUR + ", names AS (SELECT sp.person AS id, cur.name AS partner FROM sp JOIN cur ON cur.id = sp.partner WHERE sp.person <> sp.partner) SELECT cur.id, CASE WHEN coalesce(names.partner, '') = '' THEN cur.name ELSE cur.name || ' + ' || names.partner END AS label FROM cur LEFT JOIN names USING (id)")
+def couple_labels(spark, d):
+    people = _people(spark, d)
+    names = P.spouses(people).where("person <> partner").join(people.select(F.col("id").alias("partner"), F.col("name").alias("partner_name")), "partner").select(F.col("person").alias("id"), "partner_name")
+    return people.select("id", "name").join(names, "id", "left").select("id", P.couple_label("name", "partner_name").alias("label"))
+
+
 @query(_CUR + f", r AS (SELECT id AS child, unnest({_IDS % 'parents'}) AS parent FROM cur) SELECT r.child, r.parent, coalesce(cur.name, r.parent) AS display_name FROM r LEFT JOIN cur ON cur.id = r.parent")
 def people_links_with_fallback(spark, d):
     people = _people(spark, d)

@@ -180,4 +180,10 @@ def reply_trimmed(spark, d):
     return table(spark, d, "outputs_flat").where("poem is not null").select("row_id", T.trim_reply("poem").alias("reply")).distinct()
 
 
+@query(f"WITH {_V} SELECT reviewer, round_even(avg(originality), 1) AS originality, round_even(avg(imagery), 1) AS imagery FROM v GROUP BY reviewer")
+def review_even_rounding(spark, d):
+    per = _rows(spark, d).groupBy("reviewer").agg(F.avg("originality").alias("a"), F.avg("imagery").alias("b"))
+    return per.select("reviewer", V.round_half_even(F.col("a"), 1).alias("originality"), V.round_half_even(F.col("b"), 1).alias("imagery"))
+
+
 QUERIES, ORACLE = BOOK.queries, BOOK.oracle

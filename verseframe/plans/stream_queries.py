@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from verseframe.functions import fixed as K, text as T
+from verseframe.functions import fixed as K, messages as G, text as T
 from verseframe.operators import sampling as S
 from verseframe.plans.book import Book, quoted, split_words, strip
 from verseframe.sources import table
@@ -97,10 +97,44 @@ def substantial_turns(spark, d):
     return _poems(spark, d).where(T.is_substantial("poem")).select("row_id").distinct()
 
 
-@query("WITH c AS (SELECT unnest(['/length 10', '/length 1000', '/length 9', '/length x', '/length 50 ', 'length 50', '/clear']) AS command) SELECT command, CASE WHEN try_cast(regexp_extract(command, '^/length\\s+(\\d+)\\s*$', 1) AS INT) BETWEEN 10 AND 1000 THEN try_cast(regexp_extract(command, '^/length\\s+(\\d+)\\s*$', 1) AS INT) END AS length FROM c")
+@query("WITH c AS (SELECT event_id, (CASE WHEN event_id % 3 = 0 THEN '/clear ' ELSE '/length ' END) || floor(value * 10)::BIGINT || (CASE WHEN event_id % 5 = 0 THEN ' x' ELSE ' ' END) AS command FROM events WHERE value IS NOT NULL) SELECT event_id, CASE WHEN try_cast(regexp_extract(command, '^/length\\s+(\\d+)\\s*$', 1) AS INT) BETWEEN 10 AND 1000 THEN try_cast(regexp_extract(command, '^/length\\s+(\\d+)\\s*$', 1) AS INT) END AS length FROM c")
 def commands_parsed(spark, d):
-    rows = spark.createDataFrame([(c,) for c in ("/length 10", "/length 1000", "/length 9", "/length x", "/length 50 ", "length 50", "/clear")], "command string")
-    return rows.select("command", T.parse_length_command("command").alias("length"))
+    word = F.when(F.col("event_id") % 3 == 0, "/clear ").otherwise("/length ")
+    said = F.concat(word, F.floor(F.col("value") * 10).cast("string"), F.when(F.col("event_id") % 5 == 0, " x").otherwise(" "))
+    return _events(spark, d).where("value is not null").select("event_id", said.alias("command")).select("event_id", T.parse_length_command("command").alias("length"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') AS label FROM events WHERE ts IS NOT NULL")
+def run_labels(spark, d):
+    return _events(spark, d).where("ts is not null").select("event_id", T.run_label("ts").alias("label"))
+
+
+@query(f"SELECT DISTINCT row_id, concat_ws(chr(10), nullif({strip('prompt')}, ''), nullif({strip('poem')}, '')) AS content FROM outputs_flat WHERE poem IS NOT NULL")
+def content_parts(spark, d):
+    part = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.col(c).alias("text"))
+    content = F.to_json(F.array(part("text", "prompt"), part("image", "poem"), part("text", "poem")))
+    return _poems(spark, d).select("row_id", G.content_text(content).alias("content"))
+
+
+_TURN = "'<|turn>%s' || chr(10) || %s || '<turn|>' || chr(10)"
+
+
+@query(f"""WITH o AS (SELECT DISTINCT id, row_id, prompt, poem FROM outputs_flat WHERE poem IS NOT NULL)
+SELECT id, {_TURN % ('system', "'Answer in verse.'")} || string_agg({_TURN % ('user', strip("coalesce(prompt, '')"))} || {_TURN % ('model', strip('poem'))}, '' ORDER BY row_id) || {_TURN % ('user', "'Once more.'")} || '<|turn>model' || chr(10) AS rendered FROM o GROUP BY id""")
+def rendered_history(spark, d):
+    turns = table(spark, d, "outputs_flat").where("poem is not null").select("id", "row_id", F.struct(F.col("prompt").alias("user"), F.col("poem").alias("assistant")).alias("h")).distinct()
+    past = turns.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "h"))), lambda x: x["h"]).alias("history"))
+    return past.select("id", G.render(G.messages("history", F.lit("Once more."), F.lit("Answer in verse.")), "turns").alias("rendered"))
+
+
+@query("SELECT doc_id, replace(text, '<|line|>', chr(10)) AS body FROM documents")
+def lines_restored(spark, d):
+    return table(spark, d, "documents").select("doc_id", G.restore_lines("text").alias("body"))
+
+
+@query(f"SELECT DISTINCT row_id, CASE WHEN coalesce(prompt, '') = '' THEN poem WHEN starts_with(poem, prompt) THEN {strip('substr(poem, length(prompt) + 1)')} ELSE poem END AS prefix_off, CASE WHEN coalesce(prompt, '') = '' THEN poem ELSE replace(poem, prompt, '') END AS erased, CASE WHEN length(poem) <= 60 THEN poem ELSE poem[1:60] || '...' END AS label FROM outputs_flat WHERE poem IS NOT NULL")
+def prompt_forms_removed(spark, d):
+    return _poems(spark, d).select("row_id", T.strip_prompt_prefix("poem", "prompt").alias("prefix_off"), T.erase_prompt("poem", "prompt").alias("erased"), T.short_label("poem").alias("label"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -334,6 +334,22 @@ def distinct_sources(spark, d):
     return _docs(spark, d).select(F.coalesce(F.lower(F.trim("lang")), F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
 
 
+@query(f"SELECT doc_id, round({IMAGERY}, {R}) AS imagery_density, NULL::DOUBLE AS unheard_of FROM documents")
+def metric_mask(spark, d):
+    rows = M.with_metrics(_docs(spark, d).select("doc_id", "text"), "text", ["imagery_density", "unheard_of"])
+    return rows.select("doc_id", F.round("imagery_density", R).alias("imagery_density"), "unheard_of")
+
+
+_OUT = [x.replace("text", "output") for x in (IMAGERY, METAPHOR)]
+
+
+@query(f"SELECT DISTINCT row_id, round({_OUT[0]} + {_OUT[1]} + repetition_index + (1 - semantic_similarity), {R}) AS surrealism_index FROM style_tradeoff_v1_20260311_191359")
+def surrealism_index_rows(spark, d):
+    # the two scores that need a parser and an embedder are stood in for by columns of the log
+    rows = table(spark, d, "style_tradeoff_v1_20260311_191359").select("row_id", F.col("output").alias("text"), F.col("repetition_index").alias("surreal_imagery_score"), (1 - F.col("semantic_similarity")).alias("conceptual_distance_score"))
+    return M.with_metrics(rows, "text", ["imagery_density", "metaphor_density"]).select("row_id", F.round(M.surrealism_index(), R).alias("surrealism_index")).distinct()
+
+
 @query(f"""WITH t AS (SELECT regexp_extract_all(lower(title), '[a-z]+') AS w FROM documents), p AS (SELECT unnest(w[:-2]) AS word, unnest(w[2:]) AS lemma FROM t WHERE len(w) > 1), lex AS (SELECT unnest([{quoted(K.IMAGERY)}]) AS word)
 SELECT word FROM lex UNION SELECT lemma FROM p SEMI JOIN lex USING (word)""")
 def lexicon_expansion(spark, d):

@@ -20,6 +20,27 @@ def read_lines(spark: SparkSession, path: str, missing_ok: bool = False) -> Data
     return spark.read.text(where).select(F.col("_metadata.file_name").alias("file"), T.strip("value").alias("line")).where("line <> ''")
 
 
+def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line: every line of the files as it stands, blank ones too."""
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def read_pronunciations(spark: SparkSession, path: str) -> DataFrame:
+    """word, phonemes: a pronouncing dictionary of lines "WORD  PH1 PH2", with WORD(2) for further ones; comments start
+    with ;;; and words come in small letters."""
+    rows = spark.read.text(path).where(~F.startswith("value", F.lit(";;;"))).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("p")).where("size(p) > 1")
+    return rows.select(F.lower(F.regexp_replace(F.get("p", 0), r"\(\d+\)$", "")).alias("word"), F.slice("p", 2, F.size("p")).alias("phonemes"))
+
+
+def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """name, title, path, media of the files of a folder with one of the suffixes, to be sorted by lower name."""
+    rows = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    kind = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
+    media = F.when(kind.isin("jpg", "jpeg"), "image/jpeg").when(kind.isin("png", "webp", "gif"), F.concat(F.lit("image/"), kind)).otherwise("other")
+    title = F.regexp_replace(F.regexp_replace("name", r"\.[^.]+$", ""), "[-_]", " ")
+    return rows.where(kind.isin(*[s.lstrip(".").lower() for s in suffixes])).select("name", title.alias("title"), F.replace(F.url_encode("name"), F.lit("+"), F.lit("%20")).alias("path"), media.alias("media"))
+
+
 def read_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """file, text: one row per *.txt file that is not blank; bad bytes become U+FFFD. No such file raises."""
     reader = spark.read
@@ -47,13 +68,46 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     return items.select(F.coalesce(pick("prompt_id", "id", "uid", "index"), F.col("i").cast("string")).alias("prompt_id"), text.alias("prompt")).where(T.strip("prompt") != "")
 
 
+def _review_items(spark: SparkSession, path: str) -> DataFrame:
+    items = _variant(spark, path).select(F.coalesce(F.try_variant_get("v", "$.results", "array<variant>"), F.try_variant_get("v", "$", "array<variant>")).alias("a"))
+    return items.select(F.posexplode("a").alias("i", "x"))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Review rows of a JSON list or {"results": [...]}: position, comparison_id (first of poem_id, comparison_id, id),
     reviewer (blank: reviewer_<1-based position>), model (missing: unknown-model), poem and the scores as doubles."""
-    items = _variant(spark, path).select(F.coalesce(F.try_variant_get("v", "$.results", "array<variant>"), F.try_variant_get("v", "$", "array<variant>")).alias("a")).select(F.posexplode("a").alias("i", "x"))
     s = lambda n: F.try_variant_get("x", f"$.{n}", "string")
     who = F.coalesce(F.nullif(T.strip(s("reviewer")), F.lit("")), F.concat(F.lit("reviewer_"), (F.col("i") + 1).cast("string")))
-    return items.select(F.col("i").alias("position"), F.coalesce(s("poem_id"), s("comparison_id"), s("id")).alias("comparison_id"), who.alias("reviewer"), F.coalesce(s("model"), F.lit("unknown-model")).alias("model"), s("poem").alias("poem"), *[s(d).try_cast("double").alias(d) for d in ("originality", "emotion", "imagery")])
+    return _review_items(spark, path).select(F.col("i").alias("position"), F.coalesce(s("poem_id"), s("comparison_id"), s("id")).alias("comparison_id"), who.alias("reviewer"), F.coalesce(s("model"), F.lit("unknown-model")).alias("model"), s("poem").alias("poem"), *[s(d).try_cast("double").alias(d) for d in ("originality", "emotion", "imagery")])
+
+
+def read_scores(spark: SparkSession, path: str, by_poem: bool = False) -> DataFrame:
+    """Review rows with three whole scores in 1..5, of the same files; none at all raises.
+
+    by_poem=False: comparison_id is the first of poem_id, comparison_id and id that the record has at all, be it null, and
+    scores are numbers with fractions. by_poem=True: poem_key is the stripped poem, a blank one drops the row, and scores
+    are whole: fractions of numbers are cut off, texts must be whole numbers.
+    """
+    from verseframe.operators.reviews import lenient_score
+
+    items = _review_items(spark, path)
+    s = lambda n: F.try_variant_get("x", f"$.{n}", "string")
+    dims = ("originality", "emotion", "imagery")
+    if by_poem:
+        fields = F.try_variant_get("x", "$", "map<string,variant>")
+        is_text = lambda n: F.schema_of_variant(F.element_at(fields, F.lit(n))) == "STRING"
+        score = lambda n: F.when(is_text(n), lenient_score(s(n))).otherwise(F.when((v := F.try_variant_get("x", f"$.{n}", "double").cast("int")).between(1, 5), v))
+        who = F.coalesce(F.nullif(T.strip(s("reviewer")), F.lit("")), F.concat(F.lit("reviewer_"), (F.col("i") + 1).cast("string")))
+        out = items.select(F.col("i").alias("position"), T.strip(s("poem")).alias("poem_key"), who.alias("reviewer"), s("model").alias("model"), *[score(d).alias(d) for d in dims]).where("poem_key <> ''")
+    else:
+        keys = F.map_keys(F.try_variant_get("x", "$", "map<string,variant>"))
+        first = F.coalesce(*[F.when(F.array_contains(keys, n), F.struct(s(n).alias("v"))) for n in ("poem_id", "comparison_id", "id")])["v"]
+        good = lambda n: F.when((v := s(n).try_cast("double")).between(1, 5), v)
+        out = items.select(F.col("i").alias("position"), first.alias("comparison_id"), F.coalesce(s("model"), F.lit("unknown-model")).alias("model"), *[good(d).alias(d) for d in dims])
+    out = out.where(" and ".join(f"{d} is not null" for d in dims))
+    if out.isEmpty():
+        raise ValueError(f"no valid scores in {path}")
+    return out
 
 
 def read_outputs(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -112,6 +113,79 @@ def channel_stream(tokens: DataFrame, key: str, order: str, token: str, done: st
     return tokens.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {_SCHEMA}", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+class FrameWriter:
+    """Turns the tokens of one request into server-sent frames.
+
+    With flush="space" tokens are held until a blank or line end, or over LONG characters, have come. A stop token, an
+    error or `end` closes the request: what is held is sent, then an error frame (also where nothing was said), then the
+    frame that ends it; whatever comes later is ignored.
+    """
+
+    LONG = 100
+
+    def __init__(self, stop: tuple[str, ...] = (), flush: str = "token", held: str = "", said: bool = False, closed: bool = False) -> None:
+        self.stop, self.flush, self.held, self.said, self.closed = frozenset(stop), flush, held, said, closed
+
+    @staticmethod
+    def frame(**body: object) -> str:
+        return f"data: {json.dumps(body, ensure_ascii=False)}\n\n"
+
+    def feed(self, token: str | None) -> list[str]:
+        if self.closed or not token:
+            return []
+        if token in self.stop:
+            return self.end()
+        self.held += token
+        if self.flush == "space" and not (self.held[-1:].isspace() or len(self.held) > self.LONG):
+            return []
+        return self._send()
+
+    def _send(self) -> list[str]:
+        out = [self.frame(token=self.held)] if self.held else []
+        self.said, self.held = self.said or bool(self.held), ""
+        return out
+
+    def end(self, error: str | None = None) -> list[str]:
+        if self.closed:
+            return []
+        out = self._send()
+        if error is None and not self.said:
+            error = "empty generation"
+        self.closed = True
+        return out + ([self.frame(error=error)] if error else []) + [self.frame(done=True)]
+
+
+def frame_stream(tokens: DataFrame, key: str, order: str, token: str, kind: str, stop: tuple[str, ...] = (), flush: str = "token", silence_seconds: float | None = None) -> DataFrame:
+    """key, frame of a stream of rows (key, order, token, kind): kind is "token", "error" (the token is its message) or
+    "done". State per request is what is held, and two marks. A request that is silent for silence_seconds (by the clock)
+    is closed with an error; without it a request stays open until its row of kind "done" or "error"."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    name = tokens.schema[key].dataType.simpleString()
+    timeout = GroupStateTimeout.NoTimeout if silence_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        w = FrameWriter(stop, flush, *state.get) if state.exists else FrameWriter(stop, flush)
+        out: list[str] = []
+        if state.hasTimedOut:
+            out = w.end("timeout")
+        else:
+            rows = pd.concat(list(batches)).sort_values(order)
+            for what, text in zip(rows[kind], rows[token]):
+                out += w.end(text or "error") if what == "error" else w.end() if what == "done" else w.feed(text)
+        if state.hasTimedOut or rows[kind].isin(["done", "error"]).any():
+            if state.exists:
+                state.remove()
+        else:
+            state.update((w.held, w.said, w.closed))
+            if silence_seconds is not None:
+                state.setTimeoutDuration(int(silence_seconds * 1000))
+        if out:
+            yield pd.DataFrame({key: [k[0]] * len(out), "frame": out})
+
+    return tokens.groupBy(key).applyInPandasWithState(step, f"{key} {name}, frame string", "held string, said boolean, closed boolean", "append", timeout)
+
+
 def event_frames(tokens: DataFrame, key: str, order: str, token: str) -> DataFrame:
     """key, frame_no, frame: server-sent frames: one per token, an error frame for an empty generation, a final frame."""
     frame = lambda body: F.concat(F.lit("data: "), body, F.lit("\n\n"))

@@ -30,9 +30,11 @@ def recent_memory(turns: DataFrame, key: str, order: str, text: str, last: int =
     return turns.withColumn("memory", F.array_join(F.collect_list(text).over(w), "\n"))
 
 
-def merged_inputs(voice: DataFrame, keyboard: DataFrame) -> DataFrame:
-    """Both inputs with a priority: voice 0 before keyboard 1."""
-    return voice.withColumn("priority", F.lit(0)).unionByName(keyboard.withColumn("priority", F.lit(1)), allowMissingColumns=True)
+def merged_inputs(voice: DataFrame, keyboard: DataFrame, at: str | None = None) -> DataFrame:
+    """Both inputs with source and priority: voice 0 before keyboard 1. at: a time column; `polled` then sorts the inputs
+    in the order in which they are taken: by second, within one by priority, then by time."""
+    both = voice.withColumns({"source": F.lit("voice"), "priority": F.lit(0)}).unionByName(keyboard.withColumns({"source": F.lit("keyboard"), "priority": F.lit(1)}), allowMissingColumns=True)
+    return both if at is None else both.withColumn("polled", F.struct(F.date_trunc("second", F.col(at)).alias("second"), "priority", F.col(at).alias("at")))
 
 
 def progress_rate(done: str, started: str, now: str, total: str):
