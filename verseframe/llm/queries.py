@@ -46,6 +46,15 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p6_blocks(spark, d))
 
 
+def p6_fits(spark: SparkSession, d: str) -> DataFrame:
+    """What every packing must hold: all documents, no block over the capacity, and no text split that fits one."""
+    packed = p6_blocks(spark, d)
+    over = packed.groupBy("block").agg(F.sum("n_tokens").alias("load")).where(F.col("load") > packing.CAPACITY)
+    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("parts"))
+    wrong = F.sum(F.when(F.col("parts") != F.greatest(F.ceil(F.col("n") / packing.CAPACITY), F.lit(1)), 1).otherwise(0))
+    return per.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(wrong, F.lit(0)).alias("n_split_wrong")).crossJoin(over.agg(F.count(F.lit(1)).alias("n_over")))  # one row each
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -63,8 +72,9 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(documents, encoding.garbled(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_report, p4_found, p4_reliability, p4_agreement, p6_blocks, p6_report, p7_found, p7_items, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_report, p4_found, p4_reliability, p4_agreement, p6_blocks, p6_report, p6_fits, p7_found, p7_items, p8_found, p8_restored)}
 ORACLE: dict[str, str] = {
+    "p6_fits": "SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_split_wrong, 0::BIGINT AS n_over FROM documents",
     "p4_agreement": """
 WITH v AS (
   SELECT comparison_id, model, lower(trim(reviewer, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) AS who, submitted_at, originality, emotion, imagery FROM results
