@@ -100,28 +100,16 @@ def read_again_as_utf8(word: str, codec: str) -> str:
     return word if strays or (read != word and _MIXED.search(read)) else read
 
 
-@cache
-def _lost_bytes(codec: str) -> tuple[int, ...]:
-    """The bytes that reading with a codec may lose: those it does not define, else any upper byte."""
-    return tuple(b for b in range(128, 256) if not _defined(b, codec)) or tuple(range(128, 256))
-
-
-def _defined(b: int, codec: str) -> bool:
-    try:
-        return bytes([b]).decode(codec) != ""
-    except UnicodeDecodeError:
-        return False
-
-
-def lattice_readings(word: str, codec: str, model: CharModel, width: int = 64, most: int = 16) -> list[str]:
+def lattice_readings(word: str, codec: str, model: CharModel, width: int = 64, unfinished: int = 1100, most: int = 16) -> list[str]:
     """Readings of a word with lost characters as UTF-8 that was read with the codec: the `most` likeliest.
 
     The lattice has the byte behind every character, and at a lost one every byte that may be lost there, be it the
     first of a sequence or a later one, in any number. A Viterbi search over places, unfinished sequences and the last
-    two characters weighs the decoded characters by the trigram model; the best `width` states of a place are followed.
+    two characters weighs the decoded characters by the trigram model. Of a place the best `width` states with all
+    sequences finished and `unfinished` others are followed, which is all of them unless three lost bytes are in a row.
     Other characters of the codec must be part of a sequence, but for punctuation; a lost character may stay alone.
     """
-    table, lost = _bytes_of(codec), sorted({*_lost_bytes(codec), *range(0x80, 0xC0)})
+    table, lost = _bytes_of(codec), range(0x80, 0xF5)
     states: dict[tuple[str, bytes], tuple[float, str, bool]] = {("\x02\x02", b""): (0.0, "", False)}
     for ch in f"{word}\x03":
         found: dict[tuple[str, bytes], tuple[float, str, bool]] = {}
@@ -151,7 +139,8 @@ def lattice_readings(word: str, codec: str, model: CharModel, width: int = 64, m
                         continue
                     if not 0xE000 <= ord(got) < 0xF900 and not 0x80 <= ord(got) < 0xA0:
                         reach(last[1] + got, b"", score + model.logp(last + got), path + got, True)
-        states = dict(sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:width])
+        ranked = sorted(found.items(), key=lambda x: (-x[1][0], x[0]))
+        states = dict([x for x in ranked if not x[0][1]][:width] + [x for x in ranked if x[0][1]][:unfinished])
     done = sorted(((s, p) for (_, part), (s, p, joined) in states.items() if joined and not part), reverse=True)
     return [p for p in dict.fromkeys(p[:-1] for _, p in done) if not _MIXED.search(p)][:most]
 
