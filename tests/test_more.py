@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verseframe.functions import messages as G, text as T
-from verseframe.operators import corpus, metrics, people, sampling
+from verseframe.operators import corpus, metrics, people, reviews, sampling
 from verseframe.sources import files, sinks
 from verseframe.streaming import channels, sessions
 
@@ -91,6 +91,20 @@ def test_nearest_by_blocks(spark):
     assert metrics.nearest(df.limit(0), df, "vec_id", "embedding").count() == 0
 
 
+def test_pairs_of_reviewers_of_a_hot_item(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), f"r{rng.randrange(40)}", rng.randrange(1, 4)) for _ in range(400)] + [("b", None, 1)]
+    df = spark.createDataFrame(rows, "item string, who string, score int")
+    want = {}
+    for i, r, s in set(rows):
+        for j, q, t in set(rows):
+            if i == j and r and q and r < q:
+                want[r, q, s, t] = want.get((r, q, s, t), 0) + 1
+    for least in (10, 10**9):
+        got = {tuple(r)[:4]: r["n"] for r in reviews.reviewer_pair_counts(df, "item", "who", "score", blocks=4, min_rows=least).collect()}
+        assert got == want
+
+
 def test_token_shifts_equal_one_by_one(spark):
     base = spark.createDataFrame([("a", 3), ("b", 1), ("c", 5)], "token string, n long")
     tuned = spark.createDataFrame([("x", "a", 2), ("x", "d", 1), ("y", "c", 4)], "k string, token string, n long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from verseframe.functions import text as T
+from verseframe.operators.skew import hot_keys
 
 DIMENSIONS = ("originality", "emotion", "imagery")
 
@@ -41,16 +42,27 @@ def cohen_kappa(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b", l
     return per.withColumn("_e", expected).select(*keys, "n", "exact_match", F.when(F.col("_e") >= 1, 1.0).otherwise((F.col("exact_match") - F.col("_e")) / (1 - F.col("_e"))).alias("kappa"))
 
 
-def reviewer_pair_counts(votes: DataFrame, item: str, reviewer: str, score: str) -> DataFrame:
+def reviewer_pair_counts(votes: DataFrame, item: str, reviewer: str, score: str, blocks: int = 16, min_rows: int = 10_000) -> DataFrame:
     """r1, r2, a, b, n: how often two reviewers (r1 < r2) gave an item the scores a and b.
 
-    The reviewers' pairs are the result asked for. Within an item the votes are first gathered to one sorted array,
-    and pairs are made from the arrays; an item has as many votes as reviewers.
+    The reviewers' pairs are the result asked for. The votes of an item are gathered to one array, those of an item with
+    more than min_rows votes to one of `blocks` arrays each, and every two arrays meet in a row of their own, so that no
+    task has all votes of a much reviewed item. Null items match each other; null reviewers make no pairs.
     """
-    per = votes.groupBy(item).agg(F.array_sort(F.collect_set(F.struct(F.col(reviewer).alias("r"), F.col(score).alias("s")))).alias("v"))
-    left = per.select("v", F.posexplode("v").alias("_i", "x"))
-    both = left.select("x", F.explode(F.slice("v", F.col("_i") + 2, F.size("v"))).alias("y"))
-    return both.where("x.r < y.r").groupBy(F.col("x.r").alias("r1"), F.col("y.r").alias("r2"), F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    rows = votes.select(F.col(item).alias("_item"), F.col(reviewer).alias("r"), F.col(score).alias("s")).where("r is not null").distinct()
+    hot = hot_keys(rows, "_item", min_rows=min_rows)
+    number = F.when(F.col("_item").isin(hot), blocks).otherwise(1) if hot else F.lit(1)
+    parts = rows.groupBy("_item", F.pmod(F.xxhash64("r"), number).cast("int").alias("_b")).agg(F.collect_list(F.struct("r", "s")).alias("v"))
+    if hot:
+        left = parts.select("_item", "_b", F.explode(F.sequence("_b", number - 1)).alias("_c"), F.col("v").alias("x"))
+        right = parts.select(F.col("_item").alias("_i"), F.explode(F.sequence(F.lit(0), "_b")).alias("_d"), F.col("_b").alias("_e"), F.col("v").alias("y"))
+        parts = left.join(right, F.col("_item").eqNullSafe(F.col("_i")) & (F.col("_b") == F.col("_d")) & (F.col("_c") == F.col("_e")))
+        parts = parts.select("x", "y", (F.col("_b") == F.col("_c")).alias("same"))
+    else:
+        parts = parts.select(F.col("v").alias("x"), F.col("v").alias("y"), F.lit(True).alias("same"))
+    both = parts.select(F.explode("x").alias("x"), "y", "same").select("x", F.explode("y").alias("y"), "same")
+    both = both.where("x.r < y.r or (not same and x.r > y.r)").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return both.groupBy(F.col("x.r").alias("r1"), F.col("y.r").alias("r2"), F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def kappa_of_counts(counts: DataFrame, keys: list[str], labels: range = range(1, 6)) -> DataFrame:
