@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "verseframe", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC time and adaptive execution; an existing session is reused as it is."""
+    """A session with UTC time and adaptive execution, which deletes checkpoints that nothing refers to any more; an
+    existing session is reused as it is."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
