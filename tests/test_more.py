@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verseframe.functions import messages as G, text as T
+from verseframe.functions import fixed as K, messages as G, text as T
 from verseframe.operators import corpus, metrics, people, reviews, sampling
 from verseframe.sources import files, sinks
 from verseframe.streaming import channels, sessions
@@ -272,3 +272,27 @@ def test_metrics_can_be_added(spark):
     r = metrics.with_metrics(spark.createDataFrame([("abc",), (None,)], "text string"), "text", ["n_chars", "none"]).collect()
     assert [tuple(x) for x in r] == [("abc", 3.0, None), (None, None, None)]
     assert re.fullmatch(r"\d{8}_\d{6}", sinks.run_label())
+
+
+def test_responses_are_cleaned_and_asked_again(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "i int, prompt string")
+    first = lambda ps: ["<think>x" if p in ("b", "c") else f"<think>y</think>said {p}" for p in ps]
+    retry = lambda ps: ["" if p == "c" else f"again {p}" for p in ps]
+    got = {r["i"]: r["response"] for r in corpus.clean_responses(df, "prompt", first, retry).collect()}
+    assert got == {1: "said a", 2: "again b", 3: K.FALLBACK, 4: "said"}
+    assert {r["i"]: r["response"] for r in corpus.clean_responses(df, "prompt", first).collect()}[2] == K.FALLBACK
+
+
+def test_command_line(spark, tmp_path):
+    from verseframe.__main__ import main
+
+    (tmp_path / "r.json").write_text(json.dumps([{"id": i, "model": "ab"[i % 2], "originality": 3, "emotion": 2, "imagery": i % 5 + 1} for i in range(10)]))
+    main(["--out", str(tmp_path / "o1"), "reviews", str(tmp_path / "r.json")])
+    assert {r["model"]: r["n_reviews"] for r in spark.read.json(str(tmp_path / "o1")).collect()} == {"a": 5, "b": 5}
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "x.txt").write_text("\n\n".join(f"line {i} of many, and more." for i in range(300)))
+    main(["--out", str(tmp_path / "o2"), "prepare", str(tmp_path / "src"), "--target", "50", "--most", "60", "--hard", "80", "--begin", "<bos>"])
+    texts = [r["text"] for r in spark.read.json(str(tmp_path / "o2")).collect()]
+    assert len(texts) > 20 and all(t.startswith("<bos>") and len(t.split()) <= 80 for t in texts)
+    main(["--out", str(tmp_path / "o3"), "--format", "parquet", "query", "p2_found", "/root/testdata/sf0.001"])
+    assert spark.read.parquet(str(tmp_path / "o3")).columns == ["source_table", "record_no", "ref_id", "reason"]

@@ -350,6 +350,14 @@ def compatible_base(a: Column | str, b: Column | str) -> Column:
     return (x == "") | (y == "") | (x == y) | (F.element_at(F.split(x, "/"), -1) == F.element_at(F.split(y, "/"), -1))
 
 
+def form_value(form: Column | str, label: Column | str, field: str) -> Column:
+    """The value of a field in form data (a map) for blind label A or B: under a_<field> or b_<field>, or under the older
+    m1_<field> or m2_<field>; an empty one counts as missing."""
+    f, a = _col(form), F.lower(strip(label)) == "a"
+    pick = lambda name: F.nullif(F.element_at(f, name), F.lit(""))
+    return F.when(a, F.coalesce(pick(F.lit(f"a_{field}")), pick(F.lit(f"m1_{field}")))).otherwise(F.coalesce(pick(F.lit(f"b_{field}")), pick(F.lit(f"m2_{field}"))))
+
+
 def run_label(at: Column | str) -> Column:
     """A time as the label of a run, to the second."""
     return F.date_format(_col(at), "yyyyMMdd_HHmmss")

@@ -206,6 +206,31 @@ def batched_map(df: DataFrame, function: Callable[[dict[str, list]], dict[str, l
     return df.mapInPandas(run, schema)
 
 
+def clean_responses(df: DataFrame, prompt: str, factory: Callable[[list[str]], list[str]], retry: Callable[[list[str]], list[str]] | None = None, out: str = "response", batch_size: int = 64) -> DataFrame:
+    """df with the sanitised answer to each prompt. factory answers a list of prompts; where nothing is left of an answer,
+    retry (if given) is asked once more, and the fixed fallback stands for what still has none. Null prompts are asked as
+    empty ones."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def ask(make: Callable[[list[str]], list[str]]) -> Callable[[dict[str, list]], dict[str, list]]:
+        return lambda b: {**b, "_raw": make([p or "" for p in b[prompt]])}
+
+    first = batched_map(df, ask(factory), f"{fields}, _raw string", batch_size).withColumn(out, T.sanitize_output("_raw")).drop("_raw")
+    if retry is None:
+        return first.withColumn(out, F.coalesce(F.nullif(out, F.lit("")), F.lit(K.FALLBACK)))
+
+    def again(b: dict[str, list]) -> dict[str, list]:
+        open_ = [i for i, r in enumerate(b[out]) if not r]
+        said = retry([b[prompt][i] or "" for i in open_]) if open_ else []
+        raw = [None] * len(b[out])
+        for i, text in zip(open_, said):
+            raw[i] = text
+        return {**b, "_raw": raw}
+
+    second = batched_map(first, again, f"{fields}, {out} string, _raw string", batch_size)
+    return second.withColumn(out, F.coalesce(F.nullif(out, F.lit("")), F.nullif(T.sanitize_output("_raw"), F.lit("")), F.lit(K.FALLBACK))).drop("_raw")
+
+
 def embedded(df: DataFrame, column: str, make_encoder: Callable[[], object], out: str = "embedding", batch_size: int = 64) -> DataFrame:
     """df with the normalised vectors of a text column. make_encoder gives any object with
     encode(list of texts, normalize_embeddings=True); it is made once in each task, and a text once in each batch. Null

@@ -199,7 +199,9 @@ def change_errors(people: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def checked_upsert(people: DataFrame, changes: DataFrame, shown: int = 20) -> DataFrame:
-    """upsert, or ValueError naming the first errors of change_errors."""
+    """upsert, or ValueError naming the first errors of change_errors. A change without an id is a new person, whose id
+    comes from the name."""
+    changes = changes.withColumn("id", F.coalesce("id", F.nullif(T.slug("name"), F.lit(""))))
     errors = change_errors(people, changes).orderBy("id", "rule", "ref").limit(shown).collect()
     if errors:
         raise ValueError("; ".join(f"{r['id']}: {r['rule'].replace('_', ' ')} {r['ref'] or ''}".strip() for r in errors))

@@ -15,6 +15,15 @@ def extract_phrases(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(key, "pos", "phrase", T.line_syllables("phrase").alias("syllables"))
 
 
+def capped_by_type(phrases: DataFrame, key: str, kind: str, order: str, caps: dict[str, int]) -> DataFrame:
+    """The first phrases of every type within each text, in their order, as many as its cap; types without a cap are left
+    out. n_type tells how many of the type the text has."""
+    group = Window.partitionBy(key, kind)
+    rows = phrases.where(F.col(kind).isin(*caps)).withColumn("_r", F.row_number().over(group.orderBy(order))).withColumn("n_type", F.count(F.lit(1)).over(group))
+    cap = F.coalesce(*[F.when(F.col(kind) == k, F.lit(v)) for k, v in caps.items()])
+    return rows.where(F.col("_r") <= cap).drop("_r")
+
+
 def haiku(phrases: DataFrame, key: str, most: int = 50) -> DataFrame:
     """key, rank, line1..3: phrases of 5, 7 and 5 syllables of one text in order of their places, the first `most`.
 

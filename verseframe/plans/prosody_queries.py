@@ -52,6 +52,17 @@ def complement_sum_pairs(spark, d):
     return P.complement_pairs(P.extract_phrases(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "first", "second")
 
 
+_CAPS = {"short": 30, "middle": 20, "long": 15}
+
+
+@query(f"""WITH {_PHRASES}, t AS (SELECT *, CASE WHEN syllables <= 3 THEN 'short' WHEN syllables <= 6 THEN 'middle' WHEN syllables <= 9 THEN 'long' ELSE 'over' END AS kind FROM ph)
+SELECT doc_id, pos, kind, count(*) OVER (PARTITION BY doc_id, kind) AS n_type FROM t WHERE kind <> 'over' QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) <= CASE kind WHEN 'short' THEN 30 WHEN 'middle' THEN 20 ELSE 15 END""")
+def phrases_by_type(spark, d):
+    n = F.col("syllables")
+    rows = P.extract_phrases(_docs(spark, d), "doc_id", "text").withColumn("kind", F.when(n <= 3, "short").when(n <= 6, "middle").when(n <= 9, "long").otherwise("over"))
+    return P.capped_by_type(rows, "doc_id", "kind", "pos", _CAPS).select("doc_id", "pos", "kind", "n_type")
+
+
 @query()
 def complement_sum_triples(spark, d):
     return P.complement_triples(P.extract_phrases(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "first", "second", "third")

@@ -55,6 +55,14 @@ def key_fallbacks(spark, d):
     return _events(spark, d).select("event_id", F.coalesce(pick("page"), pick("ref"), "event_type").alias("label"))
 
 
+@query("WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'b ' END AS l, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS new, props AS old FROM events) SELECT event_id, coalesce(nullif(new, ''), nullif(old, '')) AS value FROM e")
+def form_values(spark, d):
+    label = F.when(F.col("event_id") % 2 == 0, "A").otherwise("b ")
+    new = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
+    form = F.create_map(F.when(F.col("event_id") % 2 == 0, "a_score").otherwise("b_score"), new, F.when(F.col("event_id") % 2 == 0, "m1_score").otherwise("m2_score"), F.col("props"))
+    return _events(spark, d).select("event_id", T.form_value(form, label, "score").alias("value"))
+
+
 def _poems(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "outputs_flat").where("poem is not null").select("row_id", "prompt", "poem").distinct()
 
