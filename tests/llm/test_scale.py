@@ -66,6 +66,16 @@ def test_refusals_in_other_words_and_at_any_length(classifier):
     assert (m[:, pairs.DEFECTS.index("refusal")] > 0).mean() <= 0.1
 
 
+def test_tables_without_rows_or_documents(spark):
+    outputs = spark.createDataFrame([], "row_id long, model string, prompt string, poem string")
+    sweep = spark.createDataFrame([], "row_id long, run_name string, prompt string, output string, output_length int")
+    docs = spark.createDataFrame([], "doc_id long, lang string, text string")
+    assert pairs.broken_pairs(outputs, sweep, docs, ("a", "b")).count() == 0
+    few = spark.createDataFrame([(1, None, None, None), (2, "m", "p", ""), (2, "m", "p", "")], outputs.schema)
+    got = {(r["row_id"], r["defect"]) for r in pairs.broken_pairs(few, sweep, docs, ("a", "b")).collect()}
+    assert got <= {(1, "empty"), (2, "empty")}
+
+
 def test_blank_answers_and_odd_pairs_get_labels(classifier):
     cases = [("p", None), ("p", ""), ("p", " \n"), (None, "..."), (None, None), ("", "the moon"), ("moon", "moon " * 5000), ("a", "\ud800 x"), ("雪", "雪が橋に静かに待つ。")]
     m, found = classifier.margins(cases)
@@ -127,6 +137,9 @@ class Letters:
     def logp(self, gram):
         return -1.0 if gram[2] in "abcdefghijklmnopqrstuvwxyzéàüñ’”雨の夜ю\x03" else -7.0
 
+    def logps(self, grams):
+        return np.array([self.logp(g) for g in grams])
+
     def fill(self, word):
         return word
 

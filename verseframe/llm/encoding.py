@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -37,6 +37,8 @@ LOST = "�"
 ENTER = 5.0
 #: Log-odds that a text with U+FFFD has lost a character, rather than always having had it.
 LOST_GAIN = 20.0
+#: Log-odds that a lost byte is one the codec does not define.
+RARE = 4.0
 #: Taken from the score of a reading of a capital word that ends in one accented letter and a mark, which may be just that.
 DOUBT = 6.0
 #: UTF-8 text read with each of these.
@@ -100,49 +102,81 @@ def read_again_as_utf8(word: str, codec: str) -> str:
     return word if strays or (read != word and _MIXED.search(read)) else read
 
 
-def lattice_readings(word: str, codec: str, model: CharModel, width: int = 64, unfinished: int = 1100, most: int = 16) -> list[str]:
+@cache
+def _undefined(codec: str) -> tuple[int, ...]:
+    """The upper bytes that a codec does not define, and so loses."""
+
+    def lost(b: int) -> bool:
+        try:
+            bytes([b]).decode(codec)
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    return tuple(b for b in range(0x80, 0x100) if lost(b))
+
+
+def lattice_readings(word: str, codec: str, model: CharModel, width: int = 32, most: int = 16) -> list[str]:
     """Readings of a word with lost characters as UTF-8 that was read with the codec: the `most` likeliest.
 
-    The lattice has the byte behind every character, and at a lost one every byte that may be lost there, be it the
-    first of a sequence or a later one, in any number. A Viterbi search over places, unfinished sequences and the last
-    two characters weighs the decoded characters by the trigram model. Of a place the best `width` states with all
-    sequences finished and `unfinished` others are followed, which is all of them unless three lost bytes are in a row.
-    Other characters of the codec must be part of a sequence, but for punctuation; a lost character may stay alone.
+    A lost character is one of the bytes that the codec does not define, the usual cause, or less likely (by RARE) any
+    byte of UTF-8, be it the first of a sequence or a later one. A word with a character outside ASCII that the codec does
+    not have was not made by it.
+    """
+    table = _bytes_of(codec)
+    if any(ch >= "\x80" and ch != LOST and ch not in table and ch not in _PUNCTUATION for ch in word):
+        return []
+    usual = _undefined(codec)
+    found = [(s - RARE if usual else s, r) for s, r in _through_lattice(word, table, range(0x80, 0xF5), model, width)]
+    found += _through_lattice(word, table, usual, model, width) if usual else []
+    return list(dict.fromkeys(r for _, r in sorted(found, key=lambda x: (-x[0], x[1]))))[:most]
+
+
+def _through_lattice(word: str, table: dict[str, int], wild: Iterable[int], model: CharModel, width: int) -> list[tuple[float, str]]:
+    """(log-probability, reading) of a word, likeliest first, whose lost characters are bytes out of `wild`.
+
+    The lattice has the byte behind every character, and at a lost one every byte it may be. A Viterbi search over places,
+    unfinished sequences and the last two characters weighs the decoded characters by the trigram model. Of a place the
+    best `width` states with all sequences finished are followed, and eight times as many others. Other characters of the codec must be part of a sequence, but for punctuation; a lost
+    character may stay alone.
     """
-    table, lost = _bytes_of(codec), range(0x80, 0xF5)
     states: dict[tuple[str, bytes], tuple[float, str, bool]] = {("\x02\x02", b""): (0.0, "", False)}
     for ch in f"{word}\x03":
-        found: dict[tuple[str, bytes], tuple[float, str, bool]] = {}
-
-        def reach(last: str, part: bytes, score: float, path: str, joined: bool) -> None:
-            key = (last, part)
-            if key not in found or score > found[key][0]:
-                found[key] = (score, path, joined)
-
         byte = table.get(ch, -1)
-        options = lost if ch == LOST else (byte,) if byte >= 0 else ()
+        options = wild if ch == LOST else (byte,) if byte >= 0 else ()
+        steps: list[tuple[float, str, str, bool]] = []  # score before the character, path, trigram, joined
+        found: dict[tuple[str, bytes], tuple[float, str, bool]] = {}
         for (last, part), (score, path, joined) in states.items():
             if not part and (byte < 0 or ch in _PUNCTUATION):  # as it stands
-                reach(last[1] + ch, b"", score + (-12.0 if ch == LOST else model.logp(last + ch)), path + ch, joined)
+                if ch == LOST:
+                    found[last[1] + ch, b""] = (score - 12.0, path + ch, joined)
+                else:
+                    steps.append((score, path + ch, last + ch, joined))
+            need = _need(part[0]) if part else 0
             for b in options:
                 if not part:
                     if _need(b):
-                        reach(last, bytes([b]), score, path, joined)
+                        found[last, bytes((b,))] = (score, path, joined)
                 elif 0x80 <= b < 0xC0:
-                    more = part + bytes([b])
-                    if len(more) <= _need(part[0]):
-                        reach(last, more, score, path, joined)
+                    more = part + bytes((b,))
+                    if len(more) <= need:
+                        if (last, more) not in found or score > found[last, more][0]:
+                            found[last, more] = (score, path, joined)
                         continue
                     try:
                         got = more.decode("utf-8")
                     except UnicodeDecodeError:
                         continue
                     if not 0xE000 <= ord(got) < 0xF900 and not 0x80 <= ord(got) < 0xA0:
-                        reach(last[1] + got, b"", score + model.logp(last + got), path + got, True)
+                        steps.append((score, path + got, last + got, True))
+        for (score, path, gram, joined), more in zip(steps, model.logps([x[2] for x in steps]).tolist() if steps else ()):
+            key = (gram[1:], b"")
+            if key not in found or score + more > found[key][0]:
+                found[key] = (score + more, path, joined)
         ranked = sorted(found.items(), key=lambda x: (-x[1][0], x[0]))
-        states = dict([x for x in ranked if not x[0][1]][:width] + [x for x in ranked if x[0][1]][:unfinished])
+        states = dict([x for x in ranked if not x[0][1]][:width] + [x for x in ranked if x[0][1]][: 8 * width])
     done = sorted(((s, p) for (_, part), (s, p, joined) in states.items() if joined and not part), reverse=True)
-    return [p for p in dict.fromkeys(p[:-1] for _, p in done) if not _MIXED.search(p)][:most]
+    return [(s, p[:-1]) for s, p in done if not _MIXED.search(p)]
 
 
 def read_again(word: str, true: str, wrong: str) -> str | None:
@@ -354,7 +388,7 @@ def channel_gains(counts: DataFrame, model: CharModel, min_rows: int = HOT_ROWS)
                     rows.append((word, 0.0, own, len(CHANNELS) - 1, filled, m.score(filled)))
             yield pd.DataFrame(rows, columns=["word", "n", "own", "channel", "reading", "model"])
 
-    rows = counts.mapInPandas(decode, "word string, n double, own double, channel int, reading string, model double")
+    rows = cut_lineage(counts.mapInPandas(decode, "word string, n double, own double, channel int, reading string, model double"))
     clean = cut_lineage(clean_words(counts))
     known = clean.select(F.col("word").alias("reading"), F.col("n").alias("reading_n"))
     scored = salted_lookup(rows, known, "reading", min_rows=min_rows)

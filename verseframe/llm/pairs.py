@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from verseframe.llm import endings, language, pairtext
-from verseframe.llm.linear import LinearModel, fit, flat
+from verseframe.llm.linear import LinearModel, fit
 from verseframe.llm.pairtext import folded, is_copy, is_empty, without_prompt
 from verseframe.llm.truncation import PRIOR, SCORED, at_limits, ending_evidence, fit_endings, limit_log_odds, measured, posteriors_of, read_rows
 from verseframe.operators.sampling import hash_sample
@@ -136,7 +136,7 @@ def featurize(pairs: list[tuple[str | None, str | None]], use: endings.WordUse,
         if prompt not in allowed:
             allowed[prompt] = language.allowed(lexicon, prompt)
         may[k, sorted(allowed[prompt])] = True
-    ids, owner = lexicon.numbers(parts), np.repeat(np.arange(n), owner)
+    ids, owner = lexicon.numbers(parts), np.repeat(np.arange(n), np.array(owner, dtype=np.int64))
     shares = language.foreign_shares(lexicon, ids, owner, may)
     for k in judged:
         names[k] += [f"end:{int(np.clip(evidence[k], -8, 8))}", f"foreign:{int(shares[k] * 10)}", f"foreign:{shares[k] > 0.6}"]
@@ -150,7 +150,7 @@ def featurize(pairs: list[tuple[str | None, str | None]], use: endings.WordUse,
     gram = PAIR + (((np.concatenate([code, pair_code, three_code]) * mix) >> np.uint64(24)) % np.uint64(FEATURES - PAIR)).astype(np.int64)
     gram_of = np.concatenate([of, of[two], of[three]])
     number = np.bincount(gram_of, minlength=n)
-    own = np.repeat(np.arange(n), [len(x) for x in names])
+    own = np.repeat(np.arange(n), np.array([len(x) for x in names], dtype=np.int64))
     places = np.concatenate([np.fromiter((_pair_place(f) for x in names for f in x), np.int64, len(own)), gram])
     values = np.concatenate([np.ones(len(own)), GRAM / np.sqrt(np.maximum(number, 1))[gram_of]])
     rows = np.concatenate([own, gram_of])
