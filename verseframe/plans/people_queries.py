@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from verseframe.functions import text as T
 from verseframe.operators import people as P
 from verseframe.operators.references import ids_in
-from verseframe.plans.book import Book, quoted, strip
+from verseframe.plans.book import Book, strip
 from verseframe.plans.core_problems import _CLEAN, _IDS
 from verseframe.sources import table
 
@@ -153,11 +153,18 @@ def people_display(spark, d):
     return _people(spark, d).select("id", T.slug(F.coalesce("name", F.lit(""))).alias("slug"), T.escape_html("name").alias("html"), T.capitalise("name").alias("capital"), P.lifespan(F.col("birthYear"), F.col("deathYear")).alias("lifespan"))
 
 
-@query()
+_NORM = "lower(" + strip("coalesce(%s, '')") + ")"
+
+
+@query(_CUR + f""", after AS (SELECT id, CASE WHEN branch IS NULL THEN name || ' II' ELSE name END AS name, spouse, parents, father, mother, {_IDS % 'parents'} AS ids FROM cur),
+renamed AS (SELECT {_NORM % 'name'} AS k, arg_min(name || ' II', id) AS now FROM cur WHERE branch IS NULL AND {_NORM % 'name'} <> '' GROUP BY 1),
+up AS (SELECT id, unnest(ids) AS pid, generate_subscripts(ids, 1) AS pos FROM after), names AS (SELECT up.id, list(p.name ORDER BY pos) AS n FROM up JOIN after p ON p.id = up.pid GROUP BY up.id)
+SELECT a.id, a.name, coalesce(r.now, a.spouse) AS spouse, array_to_string(a.parents, ',') AS parents, CASE WHEN len(a.ids) > 0 THEN coalesce(names.n[1], '') ELSE a.father END AS father, CASE WHEN len(a.ids) > 0 THEN coalesce(names.n[2], '') ELSE a.mother END AS mother
+FROM after a LEFT JOIN renamed r ON r.k = {_NORM % 'a.spouse'} LEFT JOIN names ON names.id = a.id""")
 def people_upsert(spark, d):
     people = _people(spark, d)
     changes = people.where("branch is null").select("id", F.concat("name", F.lit(" II")).alias("name"), "spouse", "parents", "father", "mother")
-    return P.upsert(people, changes)
+    return P.upsert(people, changes).withColumn("parents", F.array_join("parents", ","))
 
 
 @query(f"SELECT DISTINCT record_no, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(array_to_string(parents, ','), ','), lambda v: {strip('v')}), lambda v: v <> ''))), '|'), '') AS n FROM family")

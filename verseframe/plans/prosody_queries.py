@@ -63,7 +63,8 @@ def phrases_by_type(spark, d):
     return P.capped_by_type(rows, "doc_id", "kind", "pos", _CAPS).select("doc_id", "pos", "kind", "n_type")
 
 
-@query()
+@query(f"""WITH {_PHRASES}, a AS (SELECT * FROM ph WHERE syllables < 10 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY syllables DESC, pos) <= 50), b AS (SELECT * FROM ph WHERE syllables BETWEEN 2 AND 7 QUALIFY row_number() OVER (PARTITION BY doc_id, syllables ORDER BY pos) <= 10)
+SELECT a.doc_id, a.phrase AS first, b.phrase AS second, c.phrase AS third FROM a JOIN b ON a.doc_id = b.doc_id JOIN b c ON c.doc_id = a.doc_id AND b.syllables + c.syllables = 10 - a.syllables""")
 def complement_sum_triples(spark, d):
     return P.complement_triples(P.extract_phrases(_docs(spark, d), "doc_id", "text"), "doc_id").select("doc_id", "first", "second", "third")
 
