@@ -219,3 +219,20 @@ def test_salted_votes_give_the_same_labels(spark):
     key = ["item_id", "dimension"]
     a, b = (consensus.consensus(df, min_rows=m)[0].select(*key, "label").toPandas().sort_values(key).values.tolist() for m in (3, 10**9))
     assert a == b
+
+
+def test_habits_are_found_and_taken_out(spark):
+    rng = np.random.default_rng(12)
+    rows, truth = [], {}
+    for i in range(300):
+        t = int(rng.integers(1, 6))
+        truth[str(i)] = t
+        for j in rng.choice(12, 6, replace=False):
+            v = t if rng.random() < 0.85 else int(np.clip(t + rng.choice([-1, 1]), 1, 5))
+            v = 6 - v if j < 3 else min(v + 1, 5) if j == 3 else 4 if j == 4 else v
+            rows.append((f"r{j}", str(i), "m", v, 3, v, None))
+    df = spark.createDataFrame(rows, "reviewer string, comparison_id string, model string, originality int, emotion int, imagery int, submitted_at timestamp")
+    labels, judges, _ = consensus.consensus(df)
+    assert np.mean([truth[r["item_id"]] == r["label"] for r in labels.collect()]) > 0.93
+    found = {r["annotator"]: (r["turned"], r["shift"]) for r in judges.where("dimension = 'imagery'").collect()}
+    assert found == {f"r{j}": (j < 3, int(j == 3)) for j in range(12)}

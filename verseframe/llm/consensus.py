@@ -5,10 +5,10 @@ histogram of votes per pool. The agreement rate of an annotator with a pool, and
 from these histograms alone, so no pairs of votes are ever formed and an item may have any number of votes. Corrected
 for chance, the agreement of two independent judges is the product of their accuracies; three of them (an annotator
 and two pools) give the annotator's accuracy as sqrt(a_1 a_2 / a_12), and the median over pairs of pools is taken.
-Agreement and accuracy are taken per dimension. A judge's habit of voting higher or lower than others is measured
-first and taken out. Votes are then combined with log-odds weights: an annotator's chance to give a vote for a true
-label, from the accuracy, the habit, and how often the vote is given at all; labels start with their shares among the
-votes of the accurate.
+Agreement and accuracy are taken per dimension. A judge's habit of voting higher or lower than others, or of using the
+scale the wrong way round, is measured first and taken out. Votes are then combined with log-odds weights: an
+annotator's chance to give a vote for a true label, from the accuracy, the habit, and how often the vote is given at
+all; labels start with their shares among the votes of the accurate.
 """
 
 from __future__ import annotations
@@ -168,7 +168,8 @@ def vote_weights(accuracies: DataFrame, confusion: DataFrame | None = None, stre
                 a, at = min(b["accuracy"].iloc[i], 0.97), np.clip(np.arange(LABELS) + int(b["shift"].iloc[i]), 0, LABELS - 1)
                 given = (np.asarray(b["given"].iloc[i]) + 1) / (np.sum(b["given"].iloc[i]) + LABELS)
                 e = min(MISSES, 2 * a)  # the votes of one who agrees with nobody tell nothing
-                p = (a * np.eye(LABELS) + (1 - a) * e * near)[at] + (1 - a) * (1 - e) * given[None, :]
+                meant = (a * np.eye(LABELS) + (1 - a) * e * near)[at]
+                p = (meant[:, ::-1] if b["turned"].iloc[i] else meant) + (1 - a) * (1 - e) * given[None, :]
                 if "c" in b.columns and b["c"].iloc[i] is not None:
                     c = np.asarray(b["c"].iloc[i], dtype=float).reshape(LABELS, LABELS)
                     p = (c + strength * p) / (c.sum(axis=1, keepdims=True) + strength)
@@ -192,8 +193,8 @@ def consensus(results: DataFrame, min_rows: int = HOT_ROWS, rounds: int = 0, **c
     """(labels, judges, votes).
 
     labels: item_id, item_model, dimension, n_votes, label (1..5), margin (log-odds over the second label); an item
-    without a valid vote has no row. judges: annotator, dimension, n_votes, shift, accuracy (0 for a judge who agrees
-    with nobody beyond chance). Ties between labels go to the one nearer the middle of the scale, then the higher.
+    without a valid vote has no row. judges: annotator, dimension, n_votes, shift, turned (whether the scale was used the
+    wrong way round), accuracy (0 for a judge who agrees with nobody beyond chance, habits apart). Ties between labels go to the one nearer the middle of the scale, then the higher.
     rounds: after the vote, so often count each judge's votes per label found and weigh anew; 0 leaves it at the
     triplets.
     """
@@ -205,12 +206,15 @@ def consensus(results: DataFrame, min_rows: int = HOT_ROWS, rounds: int = 0, **c
     others = F.when(F.col("n") > 1, (F.col("_s") - F.col("vote")) / (F.col("n") - 1))
     v, o = F.when(F.col("n") > 1, F.col("vote").cast("double")), F.col("o")
     pairs = with_total.select("_judge", v.alias("v"), others.alias("o"))
-    sums = pairs.groupBy("_judge").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("v") - o).alias("_bias"), F.covar_pop("v", "o").alias("_cov"), F.var_pop("v").alias("_vv"), F.var_pop("o").alias("_oo"))
-    shift = F.when(F.coalesce(F.col("_cov"), F.lit(0.0)) > 0.15 * F.sqrt(F.col("_vv") * F.col("_oo")), F.round("_bias")).otherwise(0).cast("int")
-    habits = cut_lineage(sums.select("_judge", "n", shift.alias("shift")))
+    sums = pairs.groupBy("_judge").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(o.isNotNull(), F.col("v"))).alias("_v"), F.avg("o").alias("_o"), F.covar_pop("v", "o").alias("_cov"), F.var_pop("v").alias("_vv"), F.var_pop("o").alias("_oo"))
+    least, cov = 0.15 * F.sqrt(F.col("_vv") * F.col("_oo")), F.coalesce(F.col("_cov"), F.lit(0.0))
+    turned = F.coalesce(cov < -least, F.lit(False))
+    shift = F.when(turned, F.round(LABELS + 1 - F.col("_v") - F.col("_o"))).when(cov > least, F.round(F.col("_v") - F.col("_o"))).otherwise(0).cast("int")
+    habits = cut_lineage(sums.select("_judge", "n", shift.alias("shift"), turned.alias("turned")))
     hot_judges = _hot(habits, "_judge", min_rows)
     aligned = salted_lookup(votes, habits.drop("n"), "_judge", "inner", hot=hot_judges)
-    aligned = cut_lineage(aligned.withColumn("even", F.greatest(F.lit(1), F.least(F.lit(LABELS), F.col("vote") - F.col("shift")))))
+    upright = F.when(F.col("turned"), LABELS + 1 - F.col("vote")).otherwise(F.col("vote"))
+    aligned = cut_lineage(aligned.withColumn("even", F.greatest(F.lit(1), F.least(F.lit(LABELS), upright - F.col("shift")))))
     hist = cut_lineage(_histograms(aligned, "even"))
     solved = judge_accuracies(judge_moments(aligned, hist, hot_items), pool_agreement(hist))
     solved = cut_lineage(solved.join(habits.drop("n").hint("merge"), "_judge"))
@@ -223,7 +227,7 @@ def consensus(results: DataFrame, min_rows: int = HOT_ROWS, rounds: int = 0, **c
         cells = [F.sum(F.when((F.col("label") == k) & (F.col("vote") == v), sure).otherwise(0.0)) for k in range(1, LABELS + 1) for v in range(1, LABELS + 1)]
         confusion = known.groupBy("_judge").agg(F.array(*cells).alias("c"))
         labels = weighted_labels(aligned, vote_weights(solved, confusion), shares, hot_judges)
-    judges = solved.select(F.substring_index("_judge", "\x1f", 1).alias("annotator"), "dimension", "n_votes", "shift", "accuracy")
+    judges = solved.select(F.substring_index("_judge", "\x1f", 1).alias("annotator"), "dimension", "n_votes", "shift", "turned", "accuracy")
     return labels.drop("_item"), judges, votes
 
 
