@@ -271,12 +271,20 @@ def dice(a: Column, b: Column) -> Column:
     return bind(F.struct(a.alias("a"), b.alias("b")), lambda s: both(s["a"], s["b"]))
 
 
+def content_words(tokens: Column) -> Column:
+    """The distinct words in small letters that are no stop words."""
+    return F.array_except(F.transform(tokens, F.lower), words_set(K.OVERLAP_STOP))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared share of two sets of words, 0 where one is empty."""
+    both = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda s: both(s["a"], s["b"]))
+
+
 def content_jaccard(a: Column, b: Column) -> Column:
     """Jaccard of the words that are no stop words, 0 where one side has none."""
-    stop = words_set(K.OVERLAP_STOP)
-    both = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
-    sides = F.struct(*[F.array_except(F.transform(c, F.lower), stop).alias(k) for k, c in (("a", a), ("b", b))])
-    return bind(sides, lambda s: both(s["a"], s["b"]))
+    return jaccard(content_words(a), content_words(b))
 
 
 def has_repeats(tokens: Column) -> Column:

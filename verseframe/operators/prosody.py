@@ -105,15 +105,17 @@ def couplets(lines: DataFrame, group: str | None = None, require_rhyme: bool = T
     """
     if not require_rhyme and group is None:
         raise ValueError("pairs without rhyme need a group")
-    good = lines.where(F.col("grammar") >= min_grammar).withColumn("_end", F.lower(F.regexp_replace(F.try_element_at("words", F.lit(-1)), "[^a-zA-Z]", "")))
+    sets = {"_content": T.content_words(F.col("words")), **{f"_g{n}": T.ngrams(F.col("words"), n) for n in K.NGRAM_LIMITS}}  # once for each line
+    end = F.lower(F.regexp_replace(F.try_element_at("words", F.lit(-1)), "[^a-zA-Z]", ""))
+    good = lines.where(F.col("grammar") >= min_grammar).withColumns({"_end": end, **sets})
     keys = ([group] if group else []) + (["rhyme"] if require_rhyme else [])
-    a = good.select(*keys, *[F.col(c).alias(f"{c}1") for c in ("id", "words", "grammar", "vector", "_end")], *([] if require_rhyme else [F.col("rhyme").alias("rhyme1")]))
-    b = good.select(*keys, *[F.col(c).alias(f"{c}2") for c in ("id", "words", "grammar", "vector", "_end")], *([] if require_rhyme else [F.col("rhyme").alias("rhyme2")]))
-    pairs = a.join(b, keys).where("id1 <> id2 and _end1 <> _end2")
-    pairs = pairs.withColumn("word_overlap", T.content_jaccard(F.col("words1"), F.col("words2"))).where("word_overlap <= 0.15")
-    pairs = pairs.withColumns({f"o{n}": T.dice(T.ngrams(F.col("words1"), n), T.ngrams(F.col("words2"), n)) for n in K.NGRAM_LIMITS})
+    own = ("id", "words", "grammar", "vector", "_end", *sets)
+    a, b = (good.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in own], *([] if require_rhyme else [F.col("rhyme").alias(f"rhyme{k}")])) for k in (1, 2))
+    pairs = a.join(b.hint("merge"), keys).where("id1 <> id2 and _end1 <> _end2")
+    pairs = pairs.withColumn("word_overlap", T.jaccard(F.col("_content1"), F.col("_content2"))).where("word_overlap <= 0.15")
     for n, limit in K.NGRAM_LIMITS.items():
-        pairs = pairs.where(F.col(f"o{n}") <= limit)
+        pairs = pairs.withColumn(f"o{n}", T.dice(F.col(f"_g{n}1"), F.col(f"_g{n}2"))).where(F.col(f"o{n}") <= limit)
+    pairs = pairs.drop(*[f"{c}{k}" for c in sets for k in (1, 2)])
     from verseframe.functions.vectors import cosine_eps
 
     rhymes = F.lit(True) if require_rhyme else F.coalesce(F.col("rhyme1") == F.col("rhyme2"), F.lit(False))

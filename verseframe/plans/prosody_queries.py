@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verseframe.functions import fixed as K, text as T
 from verseframe.operators import prosody as P
+from verseframe.operators.spread import spread
 from verseframe.plans.book import Book, quoted, split_words, words as words_sql
 from verseframe.sources import table
 
@@ -14,7 +15,7 @@ query = BOOK.query
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents").where("text is not null"))
 
 
 def _syl(w: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from verseframe.functions import fixed as K, text as T
 from verseframe.operators import corpus as C, metrics as M
+from verseframe.operators.spread import spread
 from verseframe.plans.book import SPACE, Book, clean, hits, quoted, shape, split_words, strip, words
 from verseframe.sources import table
 
@@ -15,7 +16,7 @@ R = 6
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 W, S = words("text"), shape("text")
