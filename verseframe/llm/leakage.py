@@ -110,7 +110,7 @@ def myers(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
 
 
 #: Hits looked at together; text with more is halved, down to stretches of SHORT words.
-HITS, SHORT = 4_000_000, 200
+HITS, SHORT = 1_000_000, 200
 
 
 def leaked_pairs(index: ItemIndex, docs: list[np.ndarray], max_errors: int = MAX_ERRORS, min_words: int = MIN_WORDS, most: int = HITS) -> list[tuple[int, int]]:
